@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("splits", "copies")
+_MODULES = ("splits", "copies", "overlap")
 
 
 def collect() -> tuple[dict, dict]:
