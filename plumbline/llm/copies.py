@@ -46,7 +46,7 @@ def copy_groups(records: DataFrame, rid: str, sentence: str, columns: str) -> Da
     base = records.where(F.col(rid).isNotNull() & ~is_blank(F.col(sentence))).select(
         F.col(rid).alias("record_id"), F.array_join(words(F.col(sentence)), " ").alias("sentence"), names(F.col(columns)).alias("names")
     )
-    norm = base.select("*", *(fingerprint({"sentence": F.col("sentence")}, {"column_name": F.col("names")}, s).alias(f"f{s}") for s in (1, 2)))
+    norm = cut(base.select("*", *(fingerprint({"sentence": F.col("sentence")}, {"column_name": F.col("names")}, s).alias(f"f{s}") for s in (1, 2))))
     # the fingerprints that at least two records share
     shared = norm.groupBy("f1", "f2").agg(F.min("record_id").alias("keep_id"), F.max("record_id").alias("_last")).where(F.col("keep_id") < F.col("_last")).drop("_last")
     members = cut(norm.join(shared, ["f1", "f2"]))

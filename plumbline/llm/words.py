@@ -9,19 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RUN = r"[\p{L}\p{M}\p{N}_]"
-#: A number sign stands before a digit and after no word; a point between digits stays inside its number; signs of comparison are single.
-TOKEN = rf"(?:(?<!{_RUN})-(?=\p{{N}}))?{_RUN}+(?:(?<=\p{{N}})\.(?=\p{{N}}){_RUN}+)*|[<>=]|!(?==)"
+#: The ASCII members come first: that part of a class is one table look-up. Letters are lower case by then.
+_RUN = r"[0-9a-z_\p{L}\p{M}\p{N}]"
+#: A minus sign stands before a digit and after no word; a point between digits stays inside its number; signs of comparison are single.
+TOKEN = rf"(?:-(?=\p{{N}})(?<!{_RUN}-))?{_RUN}++(?:\.(?<=\p{{N}}\.)(?=\p{{N}}){_RUN}++)*|[<>=]|!(?==)"
 #: Formatting characters that have no width: they part no word.
-_INVISIBLE = "[\\u00AD\\u200B-\\u200F\\u2028-\\u202E\\u2060-\\u2064\\uFEFF\\u180E]"
-_NAME = rf"{_RUN}+(?:[.$-]{_RUN}+)*"
+_INVISIBLE = "\\u00AD\\u200B-\\u200F\\u2028-\\u202E\\u2060-\\u2064\\uFEFF\\u180E"
+_SIGNS = {"−﹣－": "-", "＜": "<", "＞": ">", "＝": "=", "≤": "<=", "≥": ">=", "≠": "!="}
+_NAME = rf"{_RUN}++(?:[.$-]{_RUN}++)*"
 
 
 def plain(c: Column) -> Column:
     """Lower case (through upper case, so that final forms and sharp s fall together), one form of each sign, no invisible characters."""
-    c = F.translate(c, "−﹣－＜＞＝", "---<>=")
-    c = F.replace(F.replace(F.replace(c, F.lit("≤"), F.lit("<=")), F.lit("≥"), F.lit(">=")), F.lit("≠"), F.lit("!="))
-    return F.lower(F.upper(F.regexp_replace(c, _INVISIBLE, "")))
+    tidy = F.regexp_replace(c, f"[{_INVISIBLE}]+", "")
+    for k, v in _SIGNS.items():
+        tidy = F.regexp_replace(tidy, f"[{k}]", v)
+    return F.lower(F.upper(F.when(c.rlike(f"[{_INVISIBLE}{''.join(_SIGNS)}]"), tidy).otherwise(c)))
 
 
 def words(c: Column) -> Column:
@@ -36,4 +39,4 @@ def names(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """Null, or nothing but blanks and invisible characters."""
-    return c.isNull() | F.regexp_replace(c, r"[\s\p{Z}\p{C}]+", "").eqNullSafe("")
+    return c.isNull() | ~c.rlike(r"[^\s\p{Z}\p{C}]")
