@@ -39,6 +39,8 @@ RARE = 2000
 SHARD_TEXTS = 5000
 #: Rows up to which a list of pairs or texts is sent to all executors instead of shuffling the texts.
 SMALL_ROWS = 100_000
+#: The same for the characters of such a list's texts.
+SMALL_CHARS = 30_000_000
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -250,7 +252,8 @@ def cross_split_overlaps(records: DataFrame, rid: str, sentence: str, split: str
     # each join brings in one side's texts for the pairs; the pairs go to the texts where they are few
     if sum(sizes.values()) and few is not found:
         with_t = cut(t.join(few, "t_id"))
-        both = e.join(F.broadcast(with_t), "e_id")
+        size = with_t.agg(F.sum(F.length("t_text"))).first()[0] or 0
+        both = e.join(F.broadcast(with_t) if size <= SMALL_CHARS else with_t, "e_id")
     else:
         both = found.join(t, "t_id").join(e, "e_id")
     pairs = both.select("t_id", "t_text", "t_copies", "e_id", "e_text", "e_copies", "matched").mapInPandas(_verify, "t_id long, t_copies long, e_id long, e_copies long, distance int, matched int")

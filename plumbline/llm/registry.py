@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("splits", "copies", "overlap")
+_MODULES = ("splits", "copies", "sampling", "overlap", "encoding", "packing")
 
 
 def collect() -> tuple[dict, dict]:
