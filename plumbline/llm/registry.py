@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("splits", "copies", "sampling", "overlap", "sentences", "encoding", "packing")
+_MODULES = ("splits", "copies", "sampling", "overlap", "sentences", "encoding", "packing", "subjects")
 
 
 def collect() -> tuple[dict, dict]:
