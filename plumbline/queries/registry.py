@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("references",)
+_MODULES = ("references", "catalog")
 
 
 def collect() -> tuple[dict, dict]:
