@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("references", "catalog")
+_MODULES = ("references", "catalog", "checks", "corpus")
 
 
 def collect() -> tuple[dict, dict]:
