@@ -14,6 +14,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 
+#: What stands after a table's name where it is given another name.
+_ALIAS = r"\s+(?:as\s+)?(?!(?:where|join|on|using|group|order|inner|left|right|full|cross|natural|union|intersect|except|limit|having|window|lateral|sort|cluster|distribute)\b)[a-z_]\w*"
+
+
 @dataclass
 class SqlScan:
     outputs: list[str] = field(default_factory=list)
@@ -91,7 +95,7 @@ def scan(spark: SparkSession, sql: str, schemas: dict[str, list[str]], strict: b
             views[t] = f"src{i}_{tag}"
             spark.createDataFrame([], ", ".join(f"`{c}` string" for c in cols)).createOrReplaceTempView(views[t])
         for t in sorted(views, key=len, reverse=True):
-            text = re.sub(rf"(?i)\b(from|join)\s+{re.escape(t)}\b", lambda m, t=t: f"{m.group(1)} {views[t]}", text)
+            text = re.sub(rf"(?i)\b(from|join)\s+{re.escape(t)}\b(?![.\w])({_ALIAS})?", lambda m, t=t: f"{m.group(1)} {views[t]}{m.group(2) or ' ' + t.rpartition('.')[2] + ' '}", text)
         # empty relations of strings: arithmetic on them must analyse, so the check of types is left to casts
         plan = spark.sql(text)._jdf.queryExecution().analyzed()
     except Exception as e:  # noqa: BLE001

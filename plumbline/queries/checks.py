@@ -237,7 +237,8 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_NOW = F.lit("2024-01-30 00:00:00").cast("timestamp")
+def _now():
+    return F.lit("2024-01-30 00:00:00").cast("timestamp")
 
 
 def latest_receipt(spark: SparkSession, d: str) -> DataFrame:
@@ -250,7 +251,7 @@ def receipt_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stale(log: DataFrame):
-    return rc.staleness(F.col("checked_at"), _NOW, (F.col("policy_hash"), F.lit("1")), F.lit("2024-01-10 00:00:00").cast("timestamp"), (F.col("context_hash"), F.when(F.col("event_id") % 5 != 0, F.lit("1"))), 15 * 86400)
+    return rc.staleness(F.col("checked_at"), _now(), (F.col("policy_hash"), F.lit("1")), F.lit("2024-01-10 00:00:00").cast("timestamp"), (F.col("context_hash"), F.when(F.col("event_id") % 5 != 0, F.lit("1"))), 15 * 86400)
 
 
 def receipt_staleness(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +271,7 @@ def swarm_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 def search_classification(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").cast("string").alias("urn"))
-    return rc.classification(asked, _log(spark, d), _NOW, 86400)
+    return rc.classification(asked, _log(spark, d), _now(), 86400)
 
 
 def context_hash(spark: SparkSession, d: str) -> DataFrame:
