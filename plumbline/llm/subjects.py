@@ -34,7 +34,7 @@ from plumbline.session import cut, table
 
 SHARE = 0.25
 #: A term is used if it is in at least this part of the documents (and three), and in no more than COMMON.
-RARE, COMMON = 5e-5, 0.25
+RARE, COMMON = 5e-5, 0.5
 ROUNDS, INNER = 5, 6
 #: A loading from here on is clear; PRIOR documents of no information are added to each term's.
 CLEAR, PRIOR = 0.6, 4.0
@@ -42,7 +42,7 @@ CLEAR, PRIOR = 0.6, 4.0
 BEARING = 0.3
 #: What a labelled document may have of subjects it is not labelled with; documents that a seed word counts for; the least summed weight
 #: of the terms of a document that takes part without labels.
-LEAK, SEED_DOCS, EVIDENCE = 0.02, 8.0, 0.1
+LEAK, SEED_DOCS, EVIDENCE = 0.02, 8.0, 0.03
 
 #: Words that anchor a subject where labels are few; general vocabulary, any subject not listed is anchored by labels and its gloss.
 SEEDS = {
