@@ -68,7 +68,8 @@ def blast_radius(s: Snapshot, roots: DataFrame, depth: int = 3) -> DataFrame:
 
 def blast_paths(s: Snapshot, roots: DataFrame, depth: int = 3) -> DataFrame:
     """The way from each root to each dashboard it reaches."""
-    return shortest_paths(s.asset_edges, roots, depth).join(s.entity.where("kind in ('chart', 'dashboard')").select(F.col("urn").alias("node")), "node", "left_semi").select("root", "node", "path")
+    boards = s.entity.where("kind in ('chart', 'dashboard')").select(F.col("urn").alias("node"))
+    return shortest_paths(s.asset_edges, roots, depth, boards).select("root", "node", "path")
 
 
 def deprecated_upstream(s: Snapshot, refs: DataFrame) -> DataFrame:

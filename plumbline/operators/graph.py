@@ -7,43 +7,77 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from plumbline.operators.ranking import global_position
 from plumbline.session import cut
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """edges(src, dst), seeds(root) -> (root, node, depth): all nodes downstream of each root with their least depth, the root itself left out."""
-    edges = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
-    total = cut(seeds.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
-    frontier, level = total, 0
-    while depth is None or level < depth:
-        level += 1
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(total, ["root", "node"], "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+    """edges(src, dst), seeds(root) -> (root, node, depth): all nodes downstream of each root with their least depth, the root itself left out.
+
+    64 roots walk together as the bits of a long: a round joins (block of roots, node) with the edges and ors the bits, so its cost is that
+    of one walk per block and not per root.
+    """
+    edges = cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())  # read once per round
+    numbered = global_position(seeds.select("root").where("root is not null").distinct(), F.col("root"), name="n")
+    roots = cut(numbered.select("root", F.floor((F.col("n") - 1) / 64).cast("int").alias("block"), ((F.col("n") - 1) % 64).cast("int").alias("bit")))
+    layers = [cut(roots.groupBy("block", F.col("root").alias("node")).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))]
+    while depth is None or len(layers) <= depth:
+        step = layers[-1].join(edges, layers[-1]["node"] == edges["src"]).groupBy("block", F.col("dst").alias("node")).agg(F.bit_or("mask").alias("mask"))
+        seen = layers[0]
+        for x in layers[1:]:
+            seen = seen.unionByName(x)
+        seen = seen.groupBy("block", "node").agg(F.bit_or("mask").alias("_seen"))
+        fresh = step.join(seen, ["block", "node"], "left").select("block", "node", F.expr("mask & ~coalesce(_seen, 0L)").alias("mask")).where("mask <> 0")
+        layers.append(cut(fresh))
+        if layers[-1].isEmpty():
+            layers.pop()
             break
-        total = total.unionByName(frontier)
-    return total.where("depth > 0")
-
-
-def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """As ``reach``, with the path: the least in node order among the shortest ones, as an array from root to node."""
-    edges = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
-    total = cut(seeds.select("root", F.col("root").alias("node"), F.array("root").alias("path")).distinct())
-    frontier = total
+    out = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).where("false")
+    for level, x in enumerate(layers[1:], 1):
+        bits = x.select("block", "node", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftrightunsigned(mask, b) & 1L) = 1)")).alias("bit"))
+        out = out.unionByName(bits.join(roots, ["block", "bit"]).select("root", "node", F.lit(level).alias("depth")))
+    return out
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int, targets: DataFrame | None = None) -> DataFrame:
+    """(root, node, path): to each node within ``depth`` steps, or only to targets(node), the least path in node order among the shortest
+    ones, as an array from root to node.
+
+    Rounds carry no paths. A path is the least if its predecessor's is, so within a layer it is known by its rank, a number; the paths
+    themselves are put together at the end, layer by layer backwards, for the targets only.
+    """
+    edges = cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())  # read once per round
+    layers = [cut(seeds.select("root", F.col("root").alias("node"), F.lit(1).alias("rank"), F.lit(0).alias("before")).distinct())]
+    total = layers[0]
     for _ in range(depth):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        step = step.groupBy("root", "node").agg(F.min("path").alias("path"))  # the paths of a round are of one length
-        frontier = cut(step.join(total, ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
+        x = layers[-1]
+        step = x.join(edges, x["node"] == edges["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.min("rank").alias("before"))
+        rank = F.row_number().over(Window.partitionBy("root").orderBy("before", "node"))
+        fresh = cut(step.join(total, ["root", "node"], "left_anti").withColumn("rank", rank).select("root", "node", "rank", "before"))
+        if fresh.isEmpty():
             break
-        total = total.unionByName(frontier)
-    return total.where(F.size("path") > 1)
+        layers.append(fresh)
+        total = total.unionByName(fresh)
+    wanted = None if targets is None else targets.select("node").distinct()
+    back = None
+    for level in range(len(layers) - 1, -1, -1):
+        x = layers[level]
+        if back is not None:
+            up = x.select("root", F.col("rank").alias("_b"), F.col("node").alias("_n"), F.col("before").alias("_next"))
+            back = back.withColumnRenamed("before", "_b").join(up, ["root", "_b"]).select("root", "node", F.col("_next").alias("before"), F.array_prepend("path", F.col("_n")).alias("path"))
+        if level:
+            ends = (x if wanted is None else x.join(wanted, "node", "left_semi")).select("root", "node", "before", F.array("node").alias("path"))
+            back = ends if back is None else back.unionByName(ends)
+    if back is None:
+        return layers[0].select("root", "node", F.array("node").alias("path")).where("false")
+    return back.select("root", "node", "path")
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """seeds(node) -> (node): everything that can be reached from any of them, the seeds too."""
-    total = cut(seeds.select("node").distinct())
+    edges, total = cut(edges.select("src", "dst").distinct()), cut(seeds.select("node").distinct())
     frontier = total
     while True:
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
@@ -67,4 +101,4 @@ def ego_net(edges: DataFrame, centre: DataFrame) -> DataFrame:
 
 def paths_between(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     """pairs(root, node) -> the least shortest path of each pair that has one."""
-    return shortest_paths(edges, pairs.select("root").distinct(), depth).join(pairs.distinct(), ["root", "node"], "left_semi")
+    return shortest_paths(edges, pairs.select("root").distinct(), depth, pairs.select("node")).join(pairs.distinct(), ["root", "node"], "left_semi")

@@ -130,23 +130,34 @@ def findings(evidence: DataFrame, policy: Policy) -> DataFrame:
     Every rule that applies gives a finding; evidence of a known kind that no rule takes is information; of an unknown kind it is what
     the policy says. A type error blocks, and the evidence's later rules are not looked at.
     """
-    entries, kinds = [], sorted({r.kind for r in policy.rules})
-    blocked = F.lit(False)
-    for i, r in enumerate(policy.rules):
-        held, wrong = rule_match(r)
-        places = {"subject": F.col("subject"), "kind": F.col("kind")} | {f"detail.{k}": F.get_json_object("detail", f"$.{k}") for k in _places(r.message)}
-        text = message(r.message.replace("{detail.", "{detail_"), {k.replace(".", "_", 1): v for k, v in places.items()})
-        row = lambda sev, rid, code, msg, i=i: F.struct(F.lit(i).alias("rule_ord"), F.lit(rid).alias("rule_id"), F.lit(sev).alias("severity"), F.lit(code).cast("string").alias("reason_code"), msg.alias("message"))
-        entries.append(F.when(~blocked & wrong, row("block", "policy_evaluation_failed", None, F.lit("a rule could not be evaluated"))).when(~blocked & held, row(r.severity, r.id, r.reason_code, text)))
-        blocked = blocked | wrong
+    kinds = sorted({r.kind for r in policy.rules})
+    hits = F.array().cast("array<struct<n:int,wrong:boolean>>")
+    for kind in kinds:  # a row only looks at the rules of its kind
+        tests = []
+        for i, r in enumerate(policy.rules):
+            if r.kind == kind:
+                held, wrong = rule_match(r)
+                tests.append(F.when(wrong | held, F.struct(F.lit(i).alias("n"), wrong.alias("wrong"))))
+        hits = F.when(F.col("kind") == kind, F.filter(F.array(*tests), lambda x: x.isNotNull())).otherwise(hits)
+    # up to and with the first type error
+    first_wrong = F.array_min(F.transform(F.filter("_h", lambda x: x["wrong"]), lambda x: x["n"]))
+    kept = F.filter("_h", lambda x: first_wrong.isNull() | (x["n"] <= first_wrong))
     n = len(policy.rules)
-    rest = F.struct(
-        F.lit(n).alias("rule_ord"), F.when(F.col("kind").isin(*kinds), "informational").otherwise("unhandled_evidence").alias("rule_id"),
-        F.when(F.col("kind").isin(*kinds), "info").otherwise(policy.unhandled).alias("severity"), F.lit(None).cast("string").alias("reason_code"), F.col("subject").alias("message"),
+    none = F.array(F.struct(F.lit(n).alias("n"), F.lit(False).alias("wrong")))
+    each = evidence.withColumn("_h", hits).withColumn("_f", kept).withColumn("_f", F.explode(F.when(F.size("_f") > 0, F.col("_f")).otherwise(none)))
+    texts = F.lit(None).cast("string")
+    for i, r in enumerate(policy.rules):
+        places = {"subject": F.col("subject"), "kind": F.col("kind")} | {f"detail_{k}": F.get_json_object("detail", f"$.{k}") for k in _places(r.message)}
+        texts = F.when(F.col("_f.n") == i, message(r.message.replace("{detail.", "{detail_"), places)).otherwise(texts)
+    pick = lambda values: F.element_at(F.array(*(F.lit(v).cast("string") for v in [*values, None])), F.col("_f.n") + 1)
+    wrong, rest, known = F.col("_f.wrong"), F.col("_f.n") == n, F.col("kind").isin(*kinds)
+    return each.select(
+        "ord", F.col("_f.n").alias("rule_ord"),
+        F.when(wrong, "policy_evaluation_failed").when(rest & known, "informational").when(rest, "unhandled_evidence").otherwise(pick([r.id for r in policy.rules])).alias("rule_id"),
+        F.when(wrong, "block").when(rest & known, "info").when(rest, policy.unhandled).otherwise(pick([r.severity for r in policy.rules])).alias("severity"),
+        F.when(~wrong & ~rest, pick([r.reason_code for r in policy.rules])).alias("reason_code"),
+        F.when(wrong, "a rule could not be evaluated").when(rest, F.col("subject")).otherwise(texts).alias("message"), "kind", "subject",
     )
-    hit = F.filter(F.array(*entries), lambda x: x.isNotNull()) if entries else F.array()
-    each = evidence.withColumn("_f", hit).withColumn("_f", F.when(F.size("_f") > 0, F.col("_f")).otherwise(F.array(rest)))
-    return each.select("ord", "kind", "subject", F.explode("_f").alias("f")).select("ord", "f.*", "kind", "subject")
 
 
 def _places(template: str) -> list[str]:

@@ -21,21 +21,23 @@ from pyspark.sql import functions as F
 from plumbline.session import cut
 
 #: Blanks at the outside of a key: white space, separators, invisible format characters.
-_OUTER = r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$"
+BLANKS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
+_QUOTES = "[\"'`“”‘’]"
+
+
+def _asset(c: Column) -> Column:
+    return F.lower(F.btrim(F.when(c.rlike(_QUOTES), F.regexp_replace(c, _QUOTES, "")).otherwise(c), F.lit(BLANKS)))
 
 
 def asset_key(c: Column) -> Column:
     """Canonical spelling of an asset name: outer blanks, quotes and letter case are spelling, all parts of the name are kept."""
-    bare = F.regexp_replace(F.regexp_replace(c, "[\"'`“”‘’]", ""), _OUTER, "")
-    return F.when(bare != "", F.lower(bare))
+    return F.nullif(_asset(c), F.lit(""))
 
 
 def field_key(c: Column) -> Column:
     """Canonical spelling of a field path: as for assets, and bracketed annotations with their dots are dropped."""
-    bare = F.regexp_replace(asset_key(c), r"\[[^\]]*\]", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"\.{2,}", "."), r"^\.+|\.+$", "")
-    bare = F.regexp_replace(bare, _OUTER, "")
-    return F.when(bare != "", bare)
+    bare = F.regexp_replace(F.regexp_replace(_asset(c), r"\[[^\]]*\]", ""), r"\.{2,}", ".")
+    return F.nullif(F.btrim(F.btrim(bare, F.lit(".")), F.lit(BLANKS)), F.lit(""))
 
 
 def reference_states(refs: DataFrame, lifetimes: DataFrame) -> DataFrame:

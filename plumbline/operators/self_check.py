@@ -63,9 +63,9 @@ def deprecated_upstream_of_live(s: Snapshot, depth: int = 8) -> DataFrame:
     """Live charts and dashboards downstream of a deprecated asset, with the least shortest path."""
     known = s.entity.select("urn")
     e = s.asset_edges.join(known.withColumnRenamed("urn", "src"), "src", "left_semi").join(known.withColumnRenamed("urn", "dst"), "dst", "left_semi")
-    paths = shortest_paths(e, s.entity.where("deprecated").select(F.col("urn").alias("root")), depth)
     live = s.entity.where(F.col("live") & F.col("kind").isin(*BI_KINDS)).select(F.col("urn").alias("node"))
-    return evidence(paths.join(live, "node", "left_semi"), "deprecated_upstream_of_live", F.col("node"), source=F.col("root"), path=F.col("path"))
+    paths = shortest_paths(e, s.entity.where("deprecated").select(F.col("urn").alias("root")), depth, live)
+    return evidence(paths, "deprecated_upstream_of_live", F.col("node"), source=F.col("root"), path=F.col("path"))
 
 
 def doc_references_missing_column(s: Snapshot) -> DataFrame:
@@ -88,4 +88,5 @@ def unresolved_lineage(s: Snapshot) -> DataFrame:
 
 def run_all(s: Snapshot) -> DataFrame:
     """The evidence of all six checks."""
+    s = s.settled()
     return union(*(f(s) for f in CHECKS.values()), unresolved_lineage(s))

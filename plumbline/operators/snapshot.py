@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.references import asset_key, field_key
-from plumbline.session import table
+from plumbline.session import cut, table
 
 
 @dataclass
@@ -22,6 +22,10 @@ class Snapshot:
     entities_complete: bool = True
     resolved: DataFrame | None = None
 
+    def settled(self) -> Snapshot:
+        """The same with its tables written out, for work that reads them many times."""
+        return Snapshot(cut(self.entity), cut(self.field), cut(self.edge), self.entities_complete, self.resolved)
+
     @property
     def asset_edges(self) -> DataFrame:
         """Distinct (src, dst)."""

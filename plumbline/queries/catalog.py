@@ -108,7 +108,7 @@ def impact_path(spark: SparkSession, d: str) -> DataFrame:
     s = derived_snapshot(spark, d)
     roots = s.entity.where(F.col("urn").startswith("cust:") & F.col("deprecated")).select(F.col("urn").alias("root"))
     to = s.entity.where("kind = 'dashboard'").select(F.col("urn").alias("node"))
-    p = graph.shortest_paths(s.asset_edges, roots, 3).join(to, "node", "left_semi")
+    p = graph.shortest_paths(s.asset_edges, roots, 3, to)
     best = p.groupBy("root").agg(F.min(F.struct(F.size("path").alias("n"), F.col("path"))).alias("b"))
     return best.select("root", F.array_join("b.path", ">").alias("path"))
 
