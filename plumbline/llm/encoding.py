@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import table
+from plumbline.session import ship, table
 
 #: Folder of the public vocabulary files; the session setting of this name overrides it.
 TOKENIZERS, SETTING = "/opt/tokenizers", "spark.plumbline.tokenizers"
@@ -183,6 +183,7 @@ def decode(ids: list[int], vocabulary: list[bytes]) -> str:
 
 def vocabulary_file(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> Broadcast:
     """The rank file as a broadcast value; its size is fixed (under 1 MB) and does not depend on the data."""
+    ship(spark)
     folder = spark.conf.get(SETTING, TOKENIZERS)
     with open(f"{folder}/{name}", "rb") as f:
         return spark.sparkContext.broadcast(f.read())
