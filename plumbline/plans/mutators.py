@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from plumbline.session import ship
+
 
 def _drop_output(sql: str) -> str | None:
     m = re.search(r"(?is)\bselect\b(.*?)\bfrom\b", sql)
@@ -62,4 +64,5 @@ def mutants(models: DataFrame) -> DataFrame:
             rows = [(p, f, i, new, diff(s, new, p)) for p, s in zip(b["path"], b["sql"]) for f, i, new in mutate(s)]
             yield pd.DataFrame(rows, columns=["path", "family", "intent", "mutated", "diff"])
 
+    ship(models.sparkSession)
     return models.select("path", "sql").mapInPandas(run, "path string, family string, intent string, mutated string, diff string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,27 @@ def build_session(app: str = "plumbline", cores: str = "*", **conf: str) -> Spar
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python functions find it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="plumbline-")) / "plumbline.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*")):
+            if p.suffix in (".py", ".yaml"):
+                z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(at))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +65,7 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends there, so an executor lost later costs a re-read and not
     a recomputation, and the planner knows the true size. The files go when the JVM ends."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}"
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

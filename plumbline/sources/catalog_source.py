@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from plumbline.session import ship
+
 
 class CatalogPages(DataSource):
     """``spark.read.format("catalog_pages").load(folder)``: entities with their fields and upstreams; a page that does not parse gives a row with its problem."""
@@ -45,4 +47,5 @@ class _Reader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(CatalogPages)

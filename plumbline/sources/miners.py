@@ -10,6 +10,8 @@ import pandas as pd
 import yaml
 from pyspark.sql import DataFrame
 
+from plumbline.session import ship
+
 PAIR = "path string, sentence string, table_name string, column_name string, claim_type string, problem string"
 
 
@@ -89,4 +91,5 @@ def mine(files: DataFrame) -> DataFrame:
                     rows.append((path, None, None, None, None, type(e).__name__))
             yield pd.DataFrame(rows, columns=["path", "sentence", "table_name", "column_name", "claim_type", "problem"])
 
+    ship(files.sparkSession)
     return files.select("path", "text").mapInPandas(run, PAIR)
