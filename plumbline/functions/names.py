@@ -82,3 +82,8 @@ def type_token(native: Column) -> Column:
     for k, v in TYPE_ALIASES.items():
         swapped = F.when(head == k, F.lit(v)).otherwise(swapped)
     return F.concat(F.coalesce(swapped, head), tail)
+
+
+def is_deprecated(flag: Column, properties: Column) -> Column:
+    """The flag, or a custom property that says so (fixed values); ``properties`` is a map."""
+    return F.coalesce(flag, F.lit(False)) | F.coalesce(F.lower(F.element_at(properties, F.lit("deprecated"))).isin("true", "yes", "deprecated"), F.lit(False))

@@ -96,3 +96,19 @@ def message(template: str, values: dict[str, Column]) -> Column:
         if name is not None:
             out.append(F.coalesce(values[name].cast("string"), F.lit("null")))
     return F.concat(*out) if out else F.lit("")
+
+
+def parse_time(value: Column) -> Column:
+    """ISO text (without a zone it is UTC) or milliseconds since 1970 as a timestamp; null for anything else."""
+    millis = F.when(value.rlike(r"^-?\d{1,16}$"), F.timestamp_millis(value.try_cast("bigint")))
+    return F.coalesce(millis, F.when(value.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), value.try_cast("timestamp")))
+
+
+def threshold(raw: str | None, default: float, low: float = 0.0, high: float = 1.0) -> float:
+    """A threshold from a setting: the default where it is not set; an error where it is no number within the bounds."""
+    if raw is None or not raw.strip():
+        return default
+    value = float(raw)
+    if not low <= value <= high:
+        raise ValueError(f"not within {low} and {high}: {raw}")
+    return value

@@ -82,3 +82,17 @@ def run(planned: DataFrame, neighbours: DataFrame, findings: DataFrame, receipts
 
 def summary(transcript: DataFrame) -> DataFrame:
     return transcript.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("n_kinds").alias("n_kinds"))
+
+
+def swarm(planned: DataFrame, neighbours: DataFrame, findings: DataFrame, workers: list[str], budget: int) -> DataFrame:
+    """Workers one after the other, each from its own place in the plan, each seeing the receipts of those before it: (worker, step, urn, outcome, n_kinds)."""
+    spark = planned.sparkSession
+    done = spark.createDataFrame([], "urn string, verdict string")
+    out = None
+    for w in workers:
+        turn = rotation(planned, w).select("urn", (F.col("turn") + 1).alias("position"))
+        got = run(turn, neighbours, findings, done, budget).withColumn("worker", F.lit(w))
+        out = got if out is None else out.unionByName(got)
+        fresh = got.where("outcome in ('finding', 'clean')").select("urn", F.when(F.col("outcome") == "finding", "WARN").otherwise("PASS").alias("verdict"))
+        done = done.unionByName(fresh)
+    return out.select("worker", "step", "urn", "outcome", "n_kinds")

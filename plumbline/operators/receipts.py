@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import signature
+
 VERDICTS = ("PASS", "WARN", "BLOCK")
 FIELDS = ("urn", "verdict", "reason_code", "commit_sha", "checked_at", "policy_hash", "context_hash", "swarm_run", "worker_id")
 
@@ -79,6 +81,24 @@ def classification(constraints: DataFrame, log: DataFrame, now: Column, max_age_
     return j.select("urn", cls.alias("class"), why.alias("reason"))
 
 
+def badge(verdict: Column) -> Column:
+    """Tag of an asset by its verdict (fixed values): PASS and WARN are verified, BLOCK is blocked, anything else has none."""
+    return F.when(verdict.isin("PASS", "WARN"), "verified").when(verdict == "BLOCK", "blocked")
+
+
+def sign(log: DataFrame, key: bytes) -> DataFrame:
+    """The log with a signature over all columns of each row, in name order."""
+    text = F.to_json(F.struct(*sorted(log.columns)), {"ignoreNullFields": "false"})
+    return log.withColumn("signature", signature(key)(text))
+
+
+def check_signatures(signed: DataFrame, key: bytes) -> DataFrame:
+    """Adds ``intact``: false for a row that was changed, or whose signature is missing."""
+    names = [c for c in signed.columns if c != "signature"]
+    text = F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})
+    return signed.withColumn("intact", F.coalesce(F.col("signature") == signature(key)(text), F.lit(False)))
+
+
 def render(df: DataFrame) -> str:
     """A small result as a Markdown table."""
     rows = df.collect()  # a report

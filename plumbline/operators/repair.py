@@ -59,3 +59,18 @@ def unfixed(findings: DataFrame, proof: DataFrame) -> DataFrame:
 def pii_fields_downstream(s: Snapshot) -> DataFrame:
     """Fields with a PII tag, as nodes for a closure."""
     return s.field.where(F.exists("tags", is_pii_tag)).select(F.concat_ws("#", "urn", "path").alias("node"))
+
+
+def apply(s: Snapshot, folder: str, owners: DataFrame | None = None, tags: DataFrame | None = None, dry_run: bool = True) -> tuple[Snapshot, DataFrame]:
+    """A new version of the snapshot with the proposals in it, written to ``folder`` unless it is a dry run, and the proof read back from
+    what was written: (kind, subject, outcome) of the two repairable checks."""
+    spark = s.entity.sparkSession
+    new = with_tags(s, tags) if tags is not None else s
+    new = with_owners(new, owners) if owners is not None else new
+    if not dry_run:
+        for name in ("entity", "field", "edge"):
+            getattr(new, name).write.mode("errorifexists").parquet(f"{folder}/{name}")
+        new = replace(new, **{name: spark.read.parquet(f"{folder}/{name}") for name in ("entity", "field", "edge")})
+    find = lambda x: sc.pii_leak_untagged(x).unionByName(sc.unowned_consumed(x))
+    before = find(s)
+    return new, prove(before, find(new), before)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.names import urn_relation
 from plumbline.operators.references import asset_key, field_key
 from plumbline.session import cut, table
 
@@ -90,3 +91,13 @@ def expand_lineage(aspects: DataFrame) -> DataFrame:
     fine = aspects.select("urn", F.explode("fine").alias("f")).select("urn", F.explode("f.sources").alias("s"), F.col("f.targets").alias("t"))
     fine = fine.select(F.col("s.urn").alias("src"), F.col("s.path").alias("src_field"), F.col("urn").alias("dst"), F.explode("t").alias("dst_field"))
     return tables.unionByName(fine).distinct()
+
+
+def lookup(s: Snapshot, names: DataFrame) -> DataFrame:
+    """names(name), an urn in any spelling or the end of a relation -> (name, urn, kind, owner, n_fields): all assets that fit."""
+    rel = s.entity.select("urn", "kind", "owner", F.lower(urn_relation(F.col("urn"))).alias("_rel"))
+    parts = F.split("_rel", r"\.")
+    keys = F.array_union(F.array("urn"), F.when(F.col("_rel").isNotNull(), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))).otherwise(F.array()))
+    fits = names.select("name", asset_key(F.col("name")).alias("_k")).distinct().join(rel.withColumn("_k", F.explode(keys)), "_k")
+    n = s.field.groupBy("urn").agg(F.count("*").alias("n_fields"))
+    return fits.join(n, "urn", "left").select("name", "urn", "kind", "owner", F.coalesce("n_fields", F.lit(0).cast("long")).alias("n_fields"))

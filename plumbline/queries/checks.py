@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.names import urn_relation
-from plumbline.functions.text import claim_type, expresses, listed_values
+from plumbline.functions.text import claim_type, expresses, listed_values, parse_time
 from plumbline.operators import audit as au
 from plumbline.operators import change as ch
 from plumbline.operators import claims as cl
@@ -16,7 +16,7 @@ from plumbline.operators import repair as rp
 from plumbline.operators import self_check as sc
 from plumbline.operators.graph import neighbours
 from plumbline.operators.lineage import lineage_diff, resolve_sources
-from plumbline.operators.snapshot import load
+from plumbline.operators.snapshot import load, lookup
 from plumbline.queries.catalog import _LEAK, _MISSING, _TAGGED, _UNOWNED, _pii
 from plumbline.queries.derived import derived_snapshot
 from plumbline.queries.sqltext import CATALOG, DERIVED, key
@@ -274,6 +274,38 @@ def search_classification(spark: SparkSession, d: str) -> DataFrame:
     return rc.classification(asked, _log(spark, d), _now(), 86400)
 
 
+def receipt_badges(spark: SparkSession, d: str) -> DataFrame:
+    return rc.latest(_log(spark, d)).groupBy(F.coalesce(rc.badge(F.col("verdict")), F.lit("none")).alias("badge")).agg(F.count("*").alias("n"))
+
+
+def signed_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log signed, a seventh of it changed, and checked."""
+    log = rc.sign(_log(spark, d), b"key").withColumn("verdict", F.when(F.col("event_id") % 7 == 0, "FORGED").otherwise(F.col("verdict")))
+    return rc.check_signatures(log, b"key").groupBy("intact").agg(F.count("*").alias("n"))
+
+
+def swarm_run(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d).settled()
+    return au.swarm(cut(au.plan(s)), cut(neighbours(s.asset_edges)), cut(sc.run_all(s)), ["a", "b", "c"], 20)
+
+
+def bi_hops(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d)
+    return ch.with_bi_hops(s, s.entity.where("deprecated").select(F.col("urn").alias("root")), 1, 1)
+
+
+def asset_lookup(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d)
+    names = table(spark, d, "cat_edge").select(F.col("target_urn").alias("name")).where("name is not null").union(s.entity.select(F.substring_index(urn_relation(F.col("urn")), ".", -1)))
+    return lookup(s, names.where("name is not null"))
+
+
+def time_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Times of events as text in three forms."""
+    form = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("event_id") % 3 == 1, F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).otherwise("soon")
+    return table(spark, d, "events").select("event_id", F.date_format(parse_time(form), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 def context_hash(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d)
     return rc.context_hash(s.entity, neighbours(s.asset_edges))
@@ -340,7 +372,7 @@ def repair_unfixed(spark: SparkSession, d: str) -> DataFrame:
 _FUNCS = (
     claim_unique, claim_unique_sample, claim_not_null, claim_accepted_values, claim_expression, claim_relationships, claims_fused, claim_status_report, claim_phrases, attestation_summary, attestation_budget, claim_wording,
     schema_gate, schema_type_mismatch, reality_diff, blast_radius, blast_paths, deprecated_upstream, unowned_asset, field_delta, doc_rot, lineage_rot_diff, lineage_source_resolve,
-    policy_findings, policy_rule_match, policy_verdict, verdict_combine, policy_ops_matrix, latest_receipt, receipt_status, receipt_staleness, receipt_judgment, swarm_ledger, search_classification, context_hash,
+    policy_findings, policy_rule_match, policy_verdict, verdict_combine, policy_ops_matrix, latest_receipt, receipt_status, receipt_staleness, receipt_judgment, swarm_ledger, search_classification, context_hash, receipt_badges, signed_log, swarm_run, bi_hops, asset_lookup, time_parse,
     audit_plan, audit_budget, audit_resume, audit_run, audit_summary, swarm_rotation, repair_owner, repair_owner_catalog, repair_tags, repair_prove, repair_unfixed,
 )
 QUERIES = {f.__name__: f for f in _FUNCS}
@@ -447,6 +479,14 @@ SELECT urn, state, CASE WHEN state <> 'CURRENT' THEN 'RECHECK' WHEN verdict = 'B
     "swarm_ledger": _LOGSQL + "SELECT coalesce(worker_id, 'unattributed') AS worker_id, count(*) AS n_receipts, count(DISTINCT urn) AS n_assets FROM lg WHERE swarm_run = 'run2' GROUP BY 1",
     "search_classification": _LOGSQL + """, q AS (SELECT CAST(c_custkey AS VARCHAR) AS urn, lt.verdict, CASE WHEN lt.verdict IS NULL THEN 'never' WHEN lt.verdict = 'UNKNOWN' THEN 'tampered' WHEN floor(epoch(TIMESTAMP '2024-01-30')) - floor(epoch(lt.checked_at)) > 86400 THEN 'expired' END AS reason FROM customer LEFT JOIN lt ON lt.urn = CAST(c_custkey AS VARCHAR) WHERE c_custkey < 300)
 SELECT urn, CASE WHEN reason IS NOT NULL THEN 'unverified' WHEN verdict = 'BLOCK' THEN 'rejected' ELSE 'verified' END AS class, reason FROM q""",
+    "receipt_badges": _LOGSQL + "SELECT CASE WHEN verdict IN ('PASS', 'WARN') THEN 'verified' WHEN verdict = 'BLOCK' THEN 'blocked' ELSE 'none' END AS badge, count(*) AS n FROM lt GROUP BY 1",
+    "signed_log": "SELECT event_id % 7 <> 0 AS intact, count(*) AS n FROM events GROUP BY 1",
+    "bi_hops": CATALOG + """, n1 AS (SELECT DISTINCT ent.urn AS root, ae.dst AS node FROM ent JOIN ae ON ae.src = ent.urn AND ae.src <> ae.dst WHERE ent.deprecated), n2 AS (SELECT n1.root, ae.dst AS node FROM n1 JOIN ent b ON b.urn = n1.node AND b.kind IN ('chart', 'dashboard') JOIN ae ON ae.src = n1.node AND ae.src <> ae.dst)
+SELECT root, node, min(depth)::INTEGER AS depth FROM (SELECT root, node, 1 AS depth FROM n1 UNION ALL SELECT root, node, 2 FROM n2) WHERE root <> node GROUP BY 1, 2""",
+    "asset_lookup": CATALOG + f""", re AS (SELECT urn, kind, owner, lower({_REL}) AS rel FROM ent), kk AS (SELECT DISTINCT urn, kind, owner, unnest(list_concat([urn], CASE WHEN rel IS NULL THEN [] ELSE list_transform(range(1, len(string_split(rel, '.')) + 1), lambda n: array_to_string(string_split(rel, '.')[-n:], '.')) END)) AS k FROM re),
+nm AS (SELECT DISTINCT name FROM (SELECT target_urn AS name FROM cat_edge UNION SELECT string_split({_REL}, '.')[-1] FROM ent) WHERE name IS NOT NULL)
+SELECT nm.name, kk.urn, kk.kind, kk.owner, (SELECT count(*) FROM fld WHERE fld.urn = kk.urn) AS n_fields FROM nm JOIN kk ON kk.k = {key("nm.name")}""",
+    "time_parse": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events",
     "audit_plan": CATALOG + _PLAN + "SELECT urn, score, position FROM pl",
     "audit_budget": CATALOG + _PLAN + "SELECT position <= 25 AS examined, count(*) AS n, sum(score)::BIGINT AS score FROM pl GROUP BY 1",
     "audit_resume": CATALOG + _PLAN + "SELECT urn, score, position FROM pl WHERE urn NOT IN (SELECT urn FROM ent WHERE owner IS NOT NULL AND length(urn) % 2 = 0)",

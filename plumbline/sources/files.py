@@ -39,6 +39,16 @@ def by_naming(paths: DataFrame, platform: str, env: str = "PROD") -> DataFrame:
     return paths.select("path", F.when(ok, dataset_urn(F.lit(platform), F.concat_ws(".", schema, name), F.lit(env))).alias("urn"), F.when(ok, "naming").otherwise("unresolved").alias("strategy"))
 
 
+def resolve(paths: DataFrame, explicit: DataFrame, manifest: DataFrame, platform: str) -> DataFrame:
+    """paths(path) -> (path, urn, strategy): the manifest first, then an explicit map(path, urn), then the naming convention, else unresolved."""
+    m = manifest.select("path", F.struct("urn", "strategy").alias("_m"))
+    e = explicit.select("path", F.struct("urn", F.lit("map").alias("strategy")).alias("_e"))
+    n = by_naming(paths, platform).select("path", F.struct("urn", "strategy").alias("_n"))
+    j = paths.select("path").distinct().join(m, "path", "left").join(e, "path", "left").join(n.distinct(), "path", "left")
+    best = F.coalesce("_m", "_e", "_n")
+    return j.select("path", best["urn"].alias("urn"), best["strategy"].alias("strategy"))
+
+
 class Recorder:
     """Answers of a catalog by method and arguments, one file each, so that a run can be replayed without it."""
 
