@@ -12,7 +12,7 @@ from plumbline.operators import constraints as cn
 from plumbline.operators import corpus as co
 from plumbline.operators import screens
 from plumbline.plans import mutators, predicates, sqlscan
-from plumbline.session import cut, shared_dir, table
+from plumbline.session import cut, scratch, table
 from plumbline.sources import files, live, miners
 from plumbline.streaming import receipts as stream
 
@@ -197,7 +197,7 @@ def constraint_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Claims written as JSON lines and read back."""
-    path = f"{shared_dir(spark).rstrip('/')}/plumbline-jsonl-{abs(hash(d))}"
+    path = scratch(spark)
     files.write_jsonl(table(spark, d, "mine_claims_release").select("record_id", "sentence", "split"), path, "record_id")
     back = files.read_jsonl(spark, path, "record_id long, sentence string, split string")
     return back.agg(F.count("*").alias("n"), F.count("sentence").alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"), F.count("_corrupt").alias("n_corrupt"))
@@ -304,9 +304,8 @@ def stream_verdicts_per_day(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream of receipts, run to its end into files."""
     src = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     log = src.select(F.col("ts").cast("timestamp").alias("checked_at"), F.when(F.col("event_type") == "purchase", "PASS").when(F.col("event_type") == "error", "BLOCK").otherwise("WARN").alias("verdict"))
-    base = shared_dir(spark).rstrip("/")
-    name = f"{base}/plumbline-stream-{abs(hash((d, id(src))))}"
-    q = stream.verdicts_per_day(log).writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(name)).option("checkpointLocation", name + "-state").trigger(availableNow=True).start()
+    name = scratch(spark)
+    q = stream.verdicts_per_day(log).writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(name)).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(name).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "verdict", "n")
 
@@ -314,8 +313,8 @@ def stream_verdicts_per_day(spark: SparkSession, d: str) -> DataFrame:
 def stream_latest_receipts(spark: SparkSession, d: str) -> DataFrame:
     src = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     log = src.select(F.col("user_id").cast("string").alias("urn"), F.col("ts").alias("checked_at"), "event_type", "event_id")
-    name = f"{shared_dir(spark).rstrip('/')}/plumbline-latest-{abs(hash((d, id(src))))}"
-    q = stream.keep_latest(log, name, name + "-state")
+    name = scratch(spark)
+    q = stream.keep_latest(log, name, scratch(spark))
     q.awaitTermination()
     last = (q.lastProgress or {}).get("batchId", 0)
     return spark.read.parquet(f"{name}/{last}").select("urn", "event_type", "event_id")

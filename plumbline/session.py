@@ -61,19 +61,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, files: int | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back: the lineage ends there, so an executor lost later costs a re-read and not
-    a recomputation, and the planner knows the true size. The files go when the JVM ends."""
-    spark = df.sparkSession
-    ship(spark)
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that nobody else uses; what is written there goes when the JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    (df.coalesce(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: the lineage ends there, so an executor lost later costs a re-read and not
+    a recomputation, and the planner knows the true size."""
+    spark = df.sparkSession
+    ship(spark)
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
