@@ -109,9 +109,11 @@ _SCHEMA = "pack_name string, capacity long, doc_id long, piece int, n_pieces int
 
 def pieces(counts: DataFrame, capacities: DataFrame) -> DataFrame:
     """counts(doc_id, n_tokens) x capacities(pack_name, capacity; a few rows) -> the items of every capacity."""
-    caps = F.broadcast(capacities.where("capacity >= 1").select("pack_name", "capacity").distinct())
-    n = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int")
-    each = counts.where(F.col("doc_id").isNotNull()).withColumn("_k", F.lit(1)).join(caps.withColumn("_k", F.lit(1)), "_k").withColumn("n_pieces", n)
+    caps = sorted({(r["pack_name"], r["capacity"]) for r in capacities.where("capacity >= 1").select("pack_name", "capacity").collect()})  # a few rows by definition
+    each_cap = F.array(*(F.struct(F.lit(k).alias("pack_name"), F.lit(c).cast("long").alias("capacity")) for k, c in caps))
+    each = counts.where(F.col("doc_id").isNotNull() if caps else F.lit(False)).select("doc_id", "n_tokens", F.explode(each_cap if caps else F.array(F.struct(F.lit("").alias("pack_name"), F.lit(1).cast("long").alias("capacity")))).alias("_c"))
+    each = each.select("doc_id", "n_tokens", "_c.pack_name", "_c.capacity")
+    each = each.withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int"))
     each = each.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     start = F.col("piece") * F.col("capacity")
     return each.select("pack_name", "capacity", "doc_id", "piece", "n_pieces", start.alias("start_token"), F.least("capacity", F.col("n_tokens") - start).alias("n_tokens"))
