@@ -31,8 +31,7 @@ def operating_point(df: DataFrame, score: str, correct: str, target: float) -> D
     step of a hundredth in one pass; the thresholds only see those 100 counts."""
     step = F.least(F.lit(99), F.floor(F.round(F.col(score) * 100, 6)).cast("int"))
     per = df.where(F.col(score).isNotNull()).groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(correct)).alias("k"))
-    grid = df.sparkSession.range(30, 100).select(F.col("id").cast("int").alias("t"))
-    at = grid.join(F.broadcast(per), F.col("s") >= F.col("t"), "left").groupBy("t").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+    at = per.where("s >= 30").select(F.explode(F.sequence(F.lit(30), F.col("s"))).alias("t"), "n", "k").groupBy("t").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     at = at.where("n > 0").withColumn("precision", F.col("k") / F.col("n"))
     good = F.min(F.when(F.col("precision") >= target, F.struct("t", "n", "k", "precision")))
     best = F.max(F.struct("precision", (-F.col("t")).alias("_t"), "n", "k"))

@@ -99,7 +99,7 @@ def marker_closure(spark: SparkSession, d: str) -> DataFrame:
 
 def paths_between(spark: SparkSession, d: str) -> DataFrame:
     s = derived_snapshot(spark, d)
-    pairs = s.entity.where(F.col("urn").startswith("ord:") & F.col("deprecated")).select(F.col("urn").alias("root")).crossJoin(F.broadcast(s.entity.where("urn in ('reg:0', 'reg:1')").select(F.col("urn").alias("node"))))
+    pairs = s.entity.where(F.col("urn").startswith("ord:") & F.col("deprecated")).select(F.col("urn").alias("root"), F.explode(F.array(F.lit("reg:0"), F.lit("reg:1"))).alias("node"))
     return graph.paths_between(s.asset_edges, pairs, 3).select("root", "node", F.array_join("path", ">").alias("path"))
 
 
