@@ -12,8 +12,8 @@ point to; a listing of columns (fenced code, a JSON object, YAML items) counts a
 ``SHARE`` of its subject-bearing sentences treat it.
 
 Defined cases: null, empty and blank texts and null ids have none; labels of unknown subjects and null labels are left out, repeated ones
-count once; without any label the seed words alone anchor the components; several rows of one document id are one document each for the
-factors, and their sentences are added up for the result; texts are read whole; empty tables give no rows; other columns play no part.
+count once; without any label the seed words alone anchor the components; several rows of one document id are judged
+one by one, and the id has the subjects of each; texts are read whole; empty tables give no rows; other columns play no part.
 The vocabulary is bounded: a term must be in ``RARE`` of all documents.
 """
 
@@ -62,8 +62,8 @@ _TOKEN = re.compile(rf"[{_HAN}]+|[^\W_{_HAN}]*(?:_[^\W_{_HAN}]*)+|{_LETTER}+(?:[
 _LISTING = re.compile(
     r"```.*?(?:```|\Z)"  # fenced code
     r"|\{[^{}]*\}"  # a JSON object
-    r"|(?:^|\n)(?:[ \t]*\w+:[ \t]*\n)*(?:[ \t]*-[ \t]*name:[^\n]*(?:\n[ \t]+\w+:[ \t]*(?:\[[^\]\n]*\]|(?=\n)|\Z))*(?:\n|\Z)?)+"  # YAML items
-    r"|\bselect\b[^.;]*?\bfrom\b[^\n;]*",
+    r"|(?:^|\n)(?:[ \t]*\w+:[ \t]*\n){0,4}(?:[ \t]*-[ \t]*name:[^\n]*(?:\n[ \t]+\w+:[ \t]*(?:\[[^\]\n]*\]|(?=\n)|\Z))*(?:\n|\Z)?)+"  # YAML items
+    r"|\bselect\b[^.;]{0,20000}?\bfrom\b[^\n;]*",
     re.S,
 )
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？｡।]+|\s*\n\s*")
@@ -105,38 +105,79 @@ def terms(listing: bool, sentence: str) -> list[str]:
     return out
 
 
-def vocabulary(docs: DataFrame, n_docs: int) -> dict[str, int]:
-    """Terms of the corpus with their numbers. Document frequencies cover all texts; at most (terms of a text) / RARE terms remain."""
+def term_codes(words: list[str]) -> np.ndarray:
+    """32-bit codes of terms. A term is known by its code from here on; two terms of a vocabulary of 10**5 share one in about one of 10**4 cases."""
+    if not words:
+        return np.zeros(0, np.int32)
+    return (pd.util.hash_array(np.array(words, dtype=object), categorize=False) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+
+def coded_sentences(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, labels) -> (doc_id, labels, listing, sizes, codes): the only pass over the texts. ``sizes`` has the number of
+    terms of every sentence, ``listing`` says which of them are listings, ``codes`` holds the terms of all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            flags, sizes, codes = [], [], []
             for t in b["text"]:
-                prose: set = set()
-                for listing, s in sentences(t):
-                    if not listing:
-                        prose.update(terms(False, s))
-                c.update(prose)
-            if len(c) > 300_000:
-                yield pd.DataFrame(list(c.items()), columns=["term", "n"])
-                c.clear()
-        yield pd.DataFrame(list(c.items()), columns=["term", "n"])
+                got = [(listing, terms(listing, s)) for listing, s in sentences(t)]
+                got = [(listing, ts) for listing, ts in got if ts]
+                flags.append(np.fromiter((listing for listing, _ in got), bool, len(got)))
+                sizes.append(np.fromiter((len(ts) for _, ts in got), np.int32, len(got)))
+                codes.append(term_codes([t for _, ts in got for t in ts]))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "labels": b["labels"], "listing": flags, "sizes": sizes, "codes": codes})
 
-    df = docs.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    kept = df.where((F.col("n") >= max(3, RARE * n_docs)) & (F.col("n") <= max(10, COMMON * n_docs))).select("term").toPandas()
-    return {t: i for i, t in enumerate(sorted(kept["term"]))}
+    return docs.select("doc_id", "text", "labels").mapInPandas(run, "doc_id long, labels long, listing array<boolean>, sizes array<int>, codes array<int>")
 
 
-def term_matrix(docs: DataFrame, words) -> DataFrame:
-    """docs(text, labels) -> sparse rows (labels, terms): the terms that a document has; ``labels`` is a bit mask."""
+def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column laid end to end, and the number of each row's."""
+    offsets = np.asarray(column.offsets, np.int64)
+    return np.asarray(column.flatten()).astype(dtype), np.diff(offsets)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = words.value
+
+def _distinct(doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, code) pairs in order."""
+    key = np.unique((doc.astype(np.int64) << 32) | code.view(np.uint32).astype(np.int64))
+    return key >> 32, (key & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+
+
+def vocabulary(coded: DataFrame, n_docs: int) -> np.ndarray:
+    """Codes of the corpus's terms, sorted. Document frequencies cover the prose of all texts; at most (terms of a text) / RARE terms remain."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flags, n_sentences = _flat(b.column(0), bool)
+            sizes, _ = _flat(b.column(1), np.int64)
+            codes, n_codes = _flat(b.column(2), np.int32)
+            prose = ~np.repeat(flags, sizes)
+            doc, code = _distinct(np.repeat(np.arange(b.num_rows), n_codes)[prose], codes[prose])
+            values, counts = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(counts, pa.int64())], ["code", "n"])
+
+    df = coded.select("listing", "sizes", "codes").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    kept = df.where((F.col("n") >= max(3, RARE * n_docs)) & (F.col("n") <= max(10, COMMON * n_docs))).select("code").toPandas()
+    return np.sort(kept["code"].to_numpy(np.int32))
+
+
+def _index(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Place of each code in the vocabulary, -1 if it is not there."""
+    i = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return np.where(known[i] == codes, i, -1)
+
+
+def term_matrix(coded: DataFrame, words) -> DataFrame:
+    """Sparse rows (labels, terms): the terms that a document has; ``labels`` is a bit mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [{known[w] for listing, s in sentences(t) for w in terms(listing, s) if w in known} for t in b["text"]]
-            yield pd.DataFrame({"labels": b["labels"], "terms": [np.fromiter(sorted(g), np.int32, len(g)) for g in got]})
+            codes, n = _flat(b.column(1), np.int32)
+            place = _index(words.value, codes)
+            doc, term = _distinct(np.repeat(np.arange(b.num_rows), n)[place >= 0], place[place >= 0].astype(np.int32))
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b.num_rows))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(term, pa.int32()))], ["labels", "terms"])
 
-    return docs.select("text", "labels").mapInPandas(run, "labels long, terms array<int>")
+    return coded.select("labels", "codes").mapInArrow(run, "labels long, terms array<int>")
 
 
 def _update(k: int, state):
@@ -211,29 +252,29 @@ def factor(matrix: DataFrame, subjects: list[str], anchors: np.ndarray, rounds:
     return loading, mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-12)
 
 
-def subject_sentences(docs: DataFrame, loadings) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, subject, n, n_bearing): sentences that treat each subject, and sentences that treat any."""
+def subject_sentences(coded: DataFrame, clear, names: list[str]) -> DataFrame:
+    """-> (doc_id, subject, n, n_bearing): sentences that treat each subject, and sentences that treat any."""
+    k = len(names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        clear = loadings.value  # term -> (subject, loading)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, subject, weight = clear.value
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                n, bearing = Counter(), 0
-                for listing, s in sentences(text):
-                    score: Counter = Counter()
-                    for t in terms(listing, s):
-                        hit = clear.get(t)
-                        if hit:
-                            score[hit[0]] += hit[1]
-                    top = max(score.values(), default=0.0)
-                    if top >= BEARING:
-                        bearing += 1
-                        n.update(k for k, v in score.items() if v >= 0.5 * top)
-                rows += [(doc, k, v, bearing) for k, v in n.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "n", "n_bearing"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, subject string, n long, n_bearing long")
+            sizes, n_sentences = _flat(b.column(1), np.int64)
+            codes, _ = _flat(b.column(2), np.int32)
+            place = _index(known, codes)
+            hit = place >= 0
+            sentence = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            score = np.bincount(sentence * k + subject[place[hit]], weight[place[hit]], len(sizes) * k).reshape(-1, k)
+            top = score.max(axis=1, initial=0.0)
+            bearing = top >= BEARING
+            treats = (score >= 0.5 * top[:, None]) & bearing[:, None] & (score > 0)
+            doc = np.repeat(np.arange(b.num_rows), n_sentences)
+            n_bearing = np.bincount(doc, bearing, b.num_rows).astype(np.int64)
+            n = np.stack([np.bincount(doc, treats[:, j], b.num_rows) for j in range(k)], axis=1).astype(np.int64)
+            row, j = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([names[x] for x in j], pa.string()), pa.array(n[row, j]), pa.array(n_bearing[row])], ["doc_id", "subject", "n", "n_bearing"])
+
+    return coded.select("doc_id", "sizes", "codes").mapInArrow(run, "doc_id long, subject string, n long, n_bearing long")
 
 
 def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rid: str = "doc_id", text: str = "text", seeds: dict[str, str] = SEEDS) -> DataFrame:
@@ -246,25 +287,25 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame
     masks = marked.groupBy("doc_id").agg(F.sum(F.element_at(number, F.col("subject")).cast("long")).alias("labels"))
     docs = documents.select(F.col(rid).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}\p{C}]"))
-    n_docs = docs.count()
-    known = vocabulary(docs, n_docs)
-    schema = "doc_id long, subject string, n long, n_bearing long"
-    if not known or not names:
-        return spark.createDataFrame([], schema)
+    coded = cut(coded_sentences(docs.join(masks, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.lit(0).cast("long")))))
+    known = vocabulary(coded, coded.count())
+    if not len(known) or not names:
+        return spark.createDataFrame([], "doc_id long, subject string, n long, n_bearing long")
     sc = spark.sparkContext
-    matrix = cut(term_matrix(docs.join(masks, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.lit(0).cast("long"))), sc.broadcast(known)))
+    matrix = cut(term_matrix(coded, sc.broadcast(known)))
     anchors = np.zeros((len(known), len(names)))
     for j, s in enumerate(names):
-        for t in {x for w in (seeds.get(s) or gloss.get(s, "")).split() for x in (terms(False, w.lower()) or [w])}:
-            if t in known:
-                anchors[known[t], j] = 1.0
+        place = _index(known, term_codes(sorted({x for w in (seeds.get(s) or gloss.get(s, "")).split() for x in (terms(False, w.lower()) or [w])})))
+        anchors[place[place >= 0], j] = 1.0
     loading, pure = factor(matrix, names, anchors)
     best = loading.argmax(axis=1)
     top, raw = loading.max(axis=1), pure[np.arange(len(known)), best]
     weight = np.clip(2 * raw - 1, 0, 1) ** 2 * np.sqrt(np.clip(2 * top - 1, 0, 1))
-    clear = {t: (names[best[i]], float(weight[i])) for t, i in known.items() if top[i] >= CLEAR}
-    per = subject_sentences(docs, sc.broadcast(clear))
-    return per.groupBy("doc_id", "subject").agg(F.sum("n").alias("n"), F.max("n_bearing").alias("n_bearing")).where(F.col("n") >= SHARE * F.col("n_bearing"))
+    clear = top >= CLEAR
+    if not clear.any():
+        return spark.createDataFrame([], "doc_id long, subject string, n long, n_bearing long")
+    per = subject_sentences(coded, sc.broadcast((known[clear], best[clear], weight[clear])), names)
+    return per.where(F.col("n") >= SHARE * F.col("n_bearing")).groupBy("doc_id", "subject").agg(F.max("n").alias("n"), F.max("n_bearing").alias("n_bearing"))
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
