@@ -11,12 +11,13 @@ rank, and ranks are only worked out within buckets, so a leaf with a third of al
 
 Defined cases: null keys take no part; a row id counts once per leaf; the categories of a mix that the data lack have no rows at hand and are
 unmet if anything is asked of them; categories of the data that no mix names are not drawn; a null category of ``source_kind`` is none,
-a null claim is ``no_claim``, a claim with a null or blank type is none; empty tables leave all quotas unmet.
+a null claim is ``no_claim``, null shares and sizes ask for nothing, a claim with a null or blank type is none; empty tables leave all quotas unmet.
 """
 
 from __future__ import annotations
 
 from decimal import ROUND_CEILING, Decimal
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +59,9 @@ def allocate(asked: list[dict], at_hand: dict[str, int], groups: dict[str, str]
     """One mix: asked rows (category, target_share, min_rows, sample_rows) -> rows with needed, at_hand, drawn and lacking."""
     need = {}
     for r in asked:
-        quota = (Decimal(repr(r["target_share"])) * r["sample_rows"]).to_integral_value(ROUND_CEILING)
-        need[r["category"]] = max(int(quota), r["min_rows"] or 0)
+        share = r["target_share"] if r["target_share"] is not None and isfinite(r["target_share"]) else 0.0
+        quota = (Decimal(repr(share)) * (r["sample_rows"] or 0)).to_integral_value(ROUND_CEILING)
+        need[r["category"]] = max(int(quota), r["min_rows"] or 0, need.get(r["category"], 0))
     have = {c: at_hand.get(c, 0) for c in need}
     draw = {c: min(need[c], have[c]) for c in need}
     spare = {c: have[c] - draw[c] for c in need}

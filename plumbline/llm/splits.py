@@ -31,7 +31,7 @@ def _tidy(c: Column) -> Column:
     """Lower case, no outer blanks, forward slashes, one slash at a time, no './' steps and no slash at the end."""
     c = F.regexp_replace(F.lower(F.regexp_replace(c, _OUTER, "")), r"\\", "/")
     c = F.regexp_replace(c, r"(?<!:)/{2,}", "/")
-    c = F.regexp_replace(c, r"(^|/)(?:\./)+", "$1")
+    c = F.regexp_replace(c, r"(^|/)(?:\./)++", "$1")
     return F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"/+$", "")
 
 

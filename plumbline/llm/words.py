@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 #: The ASCII members come first: that part of a class is one table look-up. Letters are lower case by then.
 _RUN = r"[0-9a-z_\p{L}\p{M}\p{N}]"
 #: A minus sign stands before a digit and after no word; a point between digits stays inside its number; signs of comparison are single.
-TOKEN = rf"(?:-(?=\p{{N}})(?<!{_RUN}-))?{_RUN}++(?:\.(?<=\p{{N}}\.)(?=\p{{N}}){_RUN}++)*|[<>=]|!(?==)"
+TOKEN = rf"(?:-(?=\p{{N}})(?<!{_RUN}-))?{_RUN}++(?:\.(?<=\p{{N}}\.)(?=\p{{N}}){_RUN}++)*+|[<>=]|!(?==)"
 #: Formatting characters that have no width: they part no word.
 _INVISIBLE = "\\u00AD\\u200B-\\u200F\\u2028-\\u202E\\u2060-\\u2064\\uFEFF\\u180E"
 _SIGNS = {"−﹣－": "-", "＜": "<", "＞": ">", "＝": "=", "≤": "<=", "≥": ">=", "≠": "!="}
-_NAME = rf"{_RUN}++(?:[.$-]{_RUN}++)*"
+_NAME = rf"{_RUN}++(?:[.$-]{_RUN}++)*+"
 
 
 def plain(c: Column) -> Column:

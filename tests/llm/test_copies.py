@@ -33,3 +33,8 @@ def test_a_third_of_all_rows_is_one_group(spark):
     assert copy_pairs(g).count() == 199
     kept = {r.record_id: r.n_copies for r in collapse(df, g, "record_id").collect()}
     assert len(kept) == 401 and kept[0] == 200 and kept[1] == 1
+
+
+def test_long_texts(spark):
+    rows = [(1, "1.1" * 60000, "a"), (2, "1.1" * 60000 + "!", "a"), (3, "word " * 100000, "x," * 50000), (4, "Word, " * 100000, "x"), (5, "." * 100000, None), (6, "…", "")]
+    assert pairs(spark, rows) == {(1, 2), (3, 4), (5, 6)}
