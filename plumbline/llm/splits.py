@@ -218,4 +218,31 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report}
 
-ORACLE = {}
+
+
+def _sql_tidy(c: str) -> str:
+    outer = rf"lower(regexp_replace({c}, '^[\s\p{{Z}}\p{{Cf}}]+|[\s\p{{Z}}\p{{Cf}}]+$', '', 'g'))"
+    slashes = rf"regexp_replace(replace({outer}, '\', '/'), '([^:])/{{2,}}', '\1/', 'g')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({slashes}, '(^|/)(\./)+', '\1', 'g'), '[?#].*$', ''), '/+$', '')"
+
+
+def _sql_repo(c: str) -> str:
+    bare = rf"regexp_replace(regexp_replace({_sql_tidy(c)}, '\.git$', ''), '^(git\+)?[a-z][a-z0-9+.-]*://', '')"
+    scp = rf"regexp_replace(regexp_replace({bare}, '^[^/@\s]+@', ''), '^[^/:\s]+:(?:\d+/)?([^/]+/[^/]+)', '\1')"
+    return rf"regexp_replace({scp}, '^[^/\s]+\.[^/\s]+/([^/]+/[^/]+)$', '\1')"
+
+
+def _sql_file(c: str) -> str:
+    return f"regexp_replace({_sql_tidy(c)}, '^/+', '')"
+
+
+ORACLE = {
+    "p2_found": rf"""
+WITH RECURSIVE raw AS (SELECT DISTINCT source_kind AS k, source_document AS d FROM mine_claims_release WHERE source_kind IS NOT NULL AND source_document IS NOT NULL),
+doc AS (SELECT concat(k, '|', d) AS stored, CASE WHEN k = 'dbt' AND regexp_matches({_sql_tidy("d")}, '\.(sql|ya?ml|md|json|py|csv|txt)$') AND NOT regexp_matches({_sql_tidy("d")}, '://|@') THEN concat('file:', {_sql_file("d")})
+  WHEN k IN ('dbt', 'github_clone') THEN concat('repo:', {_sql_repo("d")}) ELSE concat(k, ':', regexp_replace(regexp_replace({_sql_tidy("d")}, '^[a-z][a-z0-9+.-]*://', ''), '^/+', '')) END AS n FROM raw),
+ls AS (SELECT DISTINCT concat('file:', {_sql_file("file_path")}) AS f, concat('repo:', {_sql_repo("repo")}) AS r FROM mine_dbt_claims WHERE repo IS NOT NULL AND trim(repo) <> '' AND file_path IS NOT NULL),
+li AS (SELECT * FROM ls WHERE f IN (SELECT n FROM doc)), both_ways AS (SELECT f AS a, r AS b FROM li UNION SELECT r, f FROM li),
+re AS (SELECT n AS x, n AS y FROM (SELECT DISTINCT n FROM doc) UNION SELECT re.x, both_ways.b FROM re JOIN both_ways ON both_ways.a = re.y)
+SELECT DISTINCT a.stored AS doc_a, b.stored AS doc_b FROM re JOIN doc a ON a.n = re.x JOIN doc b ON b.n = re.y WHERE a.stored < b.stored"""
+}
