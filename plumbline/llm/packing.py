@@ -6,7 +6,7 @@ still fits; then its shortest item is taken out again if two unpacked items fill
 block is packed over counts per length, and items of one length are interchangeable.
 
 Defined cases: items without tokens (null and empty texts) take no room and are in no pack (``pack_id`` null); null ids take no part;
-repeated document ids are separate items; a capacity below 1 or null is ignored; empty tables give no packs.
+repeated document ids are separate items; a capacity below 1 or null, or without a name, is ignored; empty tables give no packs.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ _SCHEMA = "pack_name string, capacity long, doc_id long, piece int, n_pieces int
 
 def pieces(counts: DataFrame, capacities: DataFrame) -> DataFrame:
     """counts(doc_id, n_tokens) x capacities(pack_name, capacity; a few rows) -> the items of every capacity."""
-    caps = sorted({(r["pack_name"], r["capacity"]) for r in capacities.where("capacity >= 1").select("pack_name", "capacity").collect()})  # a few rows by definition
+    caps = sorted({(r["pack_name"], r["capacity"]) for r in capacities.where("capacity >= 1 and pack_name is not null").select("pack_name", "capacity").collect()})  # a few rows by definition
     each_cap = F.array(*(F.struct(F.lit(k).alias("pack_name"), F.lit(c).cast("long").alias("capacity")) for k, c in caps))
     each = counts.where(F.col("doc_id").isNotNull() if caps else F.lit(False)).select("doc_id", "n_tokens", F.explode(each_cap if caps else F.array(F.struct(F.lit("").alias("pack_name"), F.lit(1).cast("long").alias("capacity")))).alias("_c"))
     each = each.select("doc_id", "n_tokens", "_c.pack_name", "_c.capacity")

@@ -9,7 +9,8 @@
    many small ones are laid on a line in random order and the line is cut in proportion to what each split still needs.
 
 Defined cases: records without a source_document (or source_kind) are an origin each, by record id; blank documents are one document per
-source kind (the blank spelling); repeated rows count as they come; empty tables give an empty result.
+source kind (the blank spelling); repeated rows count as they come; empty tables give an empty result;
+targets without a name or a positive share are ignored, and without any target all records have a null split.
 """
 
 from __future__ import annotations
@@ -124,6 +125,8 @@ def place(components: DataFrame, labels: list[str], targets: dict[str, float], s
     """components(origin, size, one long column per label) -> (origin, split_name)."""
     spark = components.sparkSession
     names = list(targets)
+    if not names:
+        return components.select("origin", F.lit(None).cast("string").alias("split_name"))
     left = cut(components)
     want = ["size", *labels]
     total = left.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in want)).first().asDict()
@@ -180,7 +183,7 @@ LABELS = {"record_class": ("positive", "negative", "hard_negative"), "claim_type
 
 def stratified_splits(records: DataFrame, listings: DataFrame, targets: DataFrame) -> DataFrame:
     """(record_id, origin, split_name): one split per origin, shares as in targets(split_name, target_share)."""
-    goal = {r["split_name"]: r["target_share"] for r in targets.collect()}  # a handful of splits
+    goal = {r["split_name"]: r["target_share"] for r in targets.where("split_name is not null and target_share > 0 and not isnan(target_share)").collect()}  # a handful of splits
     whole = sum(goal.values()) or 1.0
     goal = {k: v / whole for k, v in sorted(goal.items())}
     base = records.select("record_id", "source_kind", "source_document", "record_class", "claim_type")
