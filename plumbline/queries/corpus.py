@@ -120,8 +120,10 @@ def every_third(spark: SparkSession, d: str) -> DataFrame:
 
 def ladder_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Logistic regression on text features, scored on held-out documents."""
-    c = _claims(spark, d).where("sentence is not null and source_document is not null").withColumn("label", (F.col("record_class") == "positive").cast("double"))
+    c = _claims(spark, d).where("sentence is not null and source_document is not null and record_class is not null").withColumn("label", (F.col("record_class") == "positive").cast("double"))
     parts = cut(bm.every_third(bm.features(c, "sentence"), "source_document").select("record_id", "label", "features", "held_out"))
+    if parts.where("not held_out").isEmpty():
+        return bm.ladder_score(parts, F.col("label") == 1, F.lit(None).cast("boolean"))
     model, prepare = bm.classifier(parts.where("not held_out"), "features", "label")
     got = model.transform(prepare(parts.where("held_out")))
     return bm.ladder_score(got, F.col("label") == 1, F.col("prediction") == 1)
@@ -210,7 +212,7 @@ def resolve_manifest(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("urn:own:"), F.col("c_custkey").cast("string"))).alias("dataset_urn")).alias("meta"),
     )
     text = F.to_json(F.struct(F.create_map(F.concat(F.lit("model."), F.col("c_custkey").cast("string")), node).alias("nodes")))
-    return files.manifest_assets(table(spark, d, "customer").select(text.alias("text")), "lake").select("path", "urn", "strategy")
+    return files.manifest_assets(table(spark, d, "customer").where("c_custkey is not null").select(text.alias("text")), "lake").select("path", "urn", "strategy")
 
 
 def resolve_naming(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +363,7 @@ x AS (SELECT * FROM h WHERE p >= 0.9 ORDER BY t LIMIT 1), y AS (SELECT * FROM h
     "cosine_screen": f"WITH p AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), s AS (SELECT vec_id, {_DOT.format(a='x', b='y')} / (sqrt({_DOT.format(a='x', b='x')}) * sqrt({_DOT.format(a='y', b='y')})) AS c FROM p) SELECT vec_id, round(c, 6) AS similarity, c < 0.1 AS drifted FROM s",
     "linear_head": f"WITH s AS (SELECT vec_id, {_SCORES} AS sc FROM embeddings), e AS (SELECT vec_id, list_transform(sc, lambda x: exp(x - list_max(sc))) AS ex FROM s), p AS (SELECT vec_id, list_transform(ex, lambda x: x / list_sum(ex)) AS pr FROM e) SELECT vec_id, round(list_max(pr), 6) AS probability, (CASE WHEN list_max(pr) >= 0.15 THEN list_position(pr, list_max(pr)) - 1 ELSE 0 END)::INTEGER AS predicted FROM p",
     "jsonl_roundtrip": "SELECT count(*) AS n, count(sentence) AS n_sentences, sum(length(sentence))::BIGINT AS n_chars, 0::BIGINT AS n_corrupt FROM mine_claims_release",
-    "resolve_manifest": "SELECT concat('models/marts/c', CAST(c_custkey AS VARCHAR), '.sql') AS path, CASE WHEN c_custkey % 5 = 0 THEN concat('urn:own:', CAST(c_custkey AS VARCHAR)) ELSE concat('urn:li:dataset:(urn:li:dataPlatform:lake,marts.c', CAST(c_custkey AS VARCHAR), ',PROD)') END AS urn, CASE WHEN c_custkey % 5 = 0 THEN 'explicit' ELSE 'manifest' END AS strategy FROM customer",
+    "resolve_manifest": "SELECT concat('models/marts/c', CAST(c_custkey AS VARCHAR), '.sql') AS path, CASE WHEN c_custkey % 5 = 0 THEN concat('urn:own:', CAST(c_custkey AS VARCHAR)) ELSE concat('urn:li:dataset:(urn:li:dataPlatform:lake,marts.c', CAST(c_custkey AS VARCHAR), ',PROD)') END AS urn, CASE WHEN c_custkey % 5 = 0 THEN 'explicit' ELSE 'manifest' END AS strategy FROM customer WHERE c_custkey IS NOT NULL",
     "resolve_naming": r"""SELECT path, CASE WHEN s <> '' THEN concat('urn:li:dataset:(urn:li:dataPlatform:lake,', s, '.', t, ',PROD)') END AS urn, CASE WHEN s <> '' THEN 'naming' ELSE 'unresolved' END AS strategy FROM (SELECT DISTINCT file_path AS path, regexp_extract(file_path, '(?:^|/)models/([\w-]+)/(?:.*/)?([\w-]+)\.sql$', 1) AS s, regexp_extract(file_path, '(?:^|/)models/([\w-]+)/(?:.*/)?([\w-]+)\.sql$', 2) AS t FROM mine_dbt_claims WHERE file_path IS NOT NULL)""",
     "stream_verdicts_per_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'purchase' THEN 'PASS' WHEN 'error' THEN 'BLOCK' ELSE 'WARN' END AS verdict, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_latest_receipts": "SELECT urn, event_type, event_id FROM (SELECT CAST(user_id AS VARCHAR) AS urn, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS rn FROM events) WHERE rn = 1",
