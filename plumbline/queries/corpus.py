@@ -29,8 +29,8 @@ def pair_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_cap(spark: SparkSession, d: str) -> DataFrame:
-    """Capped by the wording of the sentence: its first three words."""
-    c = _claims(spark, d).where("sentence is not null").withColumn("sentence", F.substring_index("sentence", " ", 3))
+    """At most three records of the same whole sentence."""
+    c = _claims(spark, d).where("sentence is not null")
     return co.sentence_cap(c.select("record_id", "record_class", "claim_type", "sentence")).select("record_id", F.col("rn").cast("long").alias("rn"))
 
 
