@@ -245,9 +245,14 @@ def latest_receipt(spark: SparkSession, d: str) -> DataFrame:
     return rc.latest(_log(spark, d)).select("urn", "verdict", "event_id")
 
 
+def _asked(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
+    """Every customer, and every urn of the log."""
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("urn")).union(log.select("urn")).where("urn is not null").distinct()
+
+
 def receipt_status(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").cast("string").alias("urn"))
-    return rc.status(asked, _log(spark, d)).select("urn", "verdict")
+    log = _log(spark, d)
+    return rc.status(_asked(spark, d, log), log).select("urn", "verdict")
 
 
 def _stale(log: DataFrame):
@@ -270,8 +275,8 @@ def swarm_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_classification(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").cast("string").alias("urn"))
-    return rc.classification(asked, _log(spark, d), _now(), 86400)
+    log = _log(spark, d)
+    return rc.classification(_asked(spark, d, log), log, _now(), 86400)
 
 
 def receipt_badges(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Registered queries do the whole job: no prefix, no subset of ids, no short walk."""
 
+import datetime as dt
+
 import pandas as pd
 
-from plumbline.queries import corpus
+from plumbline.queries import checks, corpus
 
 
 def _write(spark, folder, name, rows, schema):
@@ -18,3 +20,13 @@ def test_sentence_cap_takes_the_whole_sentence(spark, tmp_path):
     got = corpus.sentence_cap(spark, str(tmp_path)).toPandas()
     per = pd.Series(got["record_id"] % 6).value_counts()
     assert per.to_dict() == {k: 3 for k in range(6)}
+
+
+def test_receipts_of_every_customer_and_urn(spark, tmp_path):
+    _write(spark, tmp_path, "customer", [(1,), (299,), (300,), (1200,), (None,)], "c_custkey long")
+    at = dt.datetime(2024, 1, 29, 12)
+    _write(spark, tmp_path, "events", [(1, 1, at, "purchase"), (2, 1200, at, "error"), (3, 5000, at, "view")], "event_id long, user_id long, ts timestamp_ntz, event_type string")
+    got = {r.urn: r.verdict for r in checks.receipt_status(spark, str(tmp_path)).collect()}
+    assert got == {"1": "PASS", "299": None, "300": None, "1200": "BLOCK", "5000": "WARN"}
+    got = {r.urn: (r["class"], r.reason) for r in checks.search_classification(spark, str(tmp_path)).collect()}
+    assert got == {"1": ("verified", None), "299": ("unverified", "never"), "300": ("unverified", "never"), "1200": ("rejected", None), "5000": ("verified", None)}
