@@ -74,9 +74,9 @@ def blast_paths(s: Snapshot, roots: DataFrame, depth: int = 3) -> DataFrame:
 
 
 def with_bi_hops(s: Snapshot, roots: DataFrame, depth: int = 3, hops: int = 2) -> DataFrame:
-    """(root, node, depth) downstream, and ``hops`` more from the charts and dashboards reached at the rim, whose own consumers a bounded walk would miss."""
+    """(root, node, depth) downstream, and ``hops`` more from the charts and dashboards reached less than ``hops`` before the end, whose own consumers a bounded walk would miss."""
     near = cut(reach(s.asset_edges, roots, depth))
-    rim = near.where(F.col("depth") == depth).join(s.entity.where("kind in ('chart', 'dashboard')").select(F.col("urn").alias("node")), "node", "left_semi")
+    rim = near.where(F.col("depth") > depth - hops).join(s.entity.where("kind in ('chart', 'dashboard')").select(F.col("urn").alias("node")), "node", "left_semi")
     more = reach(s.asset_edges, rim.select(F.col("node").alias("root")).distinct(), hops).select(F.col("root").alias("_via"), F.col("node").alias("_far"), F.col("depth").alias("_d"))
     far = rim.join(more, rim["node"] == more["_via"]).select("root", F.col("_far").alias("node"), (F.col("depth") + F.col("_d")).alias("depth"))
     return near.unionByName(far).where("root <> node").groupBy("root", "node").agg(F.min("depth").alias("depth"))

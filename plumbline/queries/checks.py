@@ -136,7 +136,7 @@ def reality_diff(spark: SparkSession, d: str) -> DataFrame:
 
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d)
-    return ch.blast_radius(s, s.entity.where("deprecated").select(F.col("urn").alias("root")), 2)
+    return ch.blast_radius(s, s.entity.where("deprecated").select(F.col("urn").alias("root")))
 
 
 def blast_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +296,7 @@ def swarm_run(spark: SparkSession, d: str) -> DataFrame:
 
 def bi_hops(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d)
-    return ch.with_bi_hops(s, s.entity.where("deprecated").select(F.col("urn").alias("root")), 1, 1)
+    return ch.with_bi_hops(s, s.entity.where("deprecated").select(F.col("urn").alias("root")))
 
 
 def asset_lookup(spark: SparkSession, d: str) -> DataFrame:

@@ -30,3 +30,35 @@ def test_receipts_of_every_customer_and_urn(spark, tmp_path):
     assert got == {"1": "PASS", "299": None, "300": None, "1200": "BLOCK", "5000": "WARN"}
     got = {r.urn: (r["class"], r.reason) for r in checks.search_classification(spark, str(tmp_path)).collect()}
     assert got == {"1": ("verified", None), "299": ("unverified", "never"), "300": ("unverified", "never"), "1200": ("rejected", None), "5000": ("verified", None)}
+
+
+ENTITY = "urn string, kind string, owner string, deprecated boolean, live boolean, schema_available boolean, removed_at timestamp"
+FIELD = "urn string, field_path string, native_type string, nullable boolean, tags array<string>, description string, dropped_at timestamp"
+EDGE = "source_urn string, source_field string, target_urn string, target_field string"
+
+
+def _urn(name):
+    return f"urn:li:dataset:(urn:li:dataplatform:lake,{name},prod)"
+
+
+def _chain(spark, folder, kinds):
+    """A deprecated asset and a chain of assets of the given kinds below it."""
+    urns = [_urn(f"n{i}") for i in range(len(kinds) + 1)]
+    _write(spark, folder, "cat_entity", [(u, k, "t", k == "root", True, True, None) for u, k in zip(urns, ["root", *kinds])], ENTITY)
+    _write(spark, folder, "cat_field", [], FIELD)
+    _write(spark, folder, "cat_edge", [(a, None, b, None) for a, b in zip(urns, urns[1:])], EDGE)
+    return urns
+
+
+def test_blast_radius_goes_three_hops(spark, tmp_path):
+    _chain(spark, tmp_path, ["dataset", "dataset", "dashboard", "dataset"])
+    r = checks.blast_radius(spark, str(tmp_path)).collect()
+    assert [(x.n_assets, x.n_dashboards, x.depth) for x in r] == [(3, 1, 3)]
+
+
+def test_bi_hops_go_two_hops_on(spark, tmp_path):
+    for at, last in ((3, 5), (2, 4), (1, 3)):  # the chart's place, and the depth of the last asset that belongs
+        kinds = ["chart" if i == at else "dataset" for i in range(1, 8)]
+        urns = _chain(spark, tmp_path / str(at), kinds)
+        got = {x.node: x.depth for x in checks.bi_hops(spark, str(tmp_path / str(at))).collect()}
+        assert got == {urns[i]: i for i in range(1, last + 1)}
