@@ -41,8 +41,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataF
     return out
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int, targets: DataFrame | None = None) -> DataFrame:
-    """(root, node, path): to each node within ``depth`` steps, or only to targets(node), the least path in node order among the shortest
+def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(root, node, path): to each node within ``depth`` steps (None: however far), or only to targets(node), the least path in node order among the shortest
     ones, as an array from root to node.
 
     Rounds carry no paths. A path is the least if its predecessor's is, so within a layer it is known by its rank, a number; the paths
@@ -51,7 +51,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int, targets: Data
     edges = cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())  # read once per round
     layers = [cut(seeds.select("root", F.col("root").alias("node"), F.lit(1).alias("rank"), F.lit(0).alias("before")).distinct())]
     total = layers[0]
-    for _ in range(depth):
+    while depth is None or len(layers) <= depth:
         x = layers[-1]
         step = x.join(edges, x["node"] == edges["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.min("rank").alias("before"))
         rank = F.row_number().over(Window.partitionBy("root").orderBy("before", "node"))

@@ -59,7 +59,7 @@ def unowned_consumed(s: Snapshot) -> DataFrame:
     return evidence(used, "unowned_consumed", F.col("src"), consumers=F.col("n"))
 
 
-def deprecated_upstream_of_live(s: Snapshot, depth: int = 8) -> DataFrame:
+def deprecated_upstream_of_live(s: Snapshot, depth: int | None = None) -> DataFrame:
     """Live charts and dashboards downstream of a deprecated asset, with the least shortest path."""
     known = s.entity.select("urn")
     e = s.asset_edges.join(known.withColumnRenamed("urn", "src"), "src", "left_semi").join(known.withColumnRenamed("urn", "dst"), "dst", "left_semi")

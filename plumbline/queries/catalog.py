@@ -62,7 +62,7 @@ def deprecated_upstream_of_live(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deprecated_upstream_catalog(spark: SparkSession, d: str) -> DataFrame:
-    e = sc.deprecated_upstream_of_live(load(spark, d), 3)
+    e = sc.deprecated_upstream_of_live(load(spark, d))
     return e.select(F.get_json_object("detail", "$.source").alias("source"), "subject", F.size(F.from_json(F.get_json_object("detail", "$.path"), "array<string>")).alias("hops"))
 
 

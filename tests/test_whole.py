@@ -4,7 +4,7 @@ import datetime as dt
 
 import pandas as pd
 
-from plumbline.queries import checks, corpus
+from plumbline.queries import catalog, checks, corpus
 
 
 def _write(spark, folder, name, rows, schema):
@@ -62,3 +62,11 @@ def test_bi_hops_go_two_hops_on(spark, tmp_path):
         urns = _chain(spark, tmp_path / str(at), kinds)
         got = {x.node: x.depth for x in checks.bi_hops(spark, str(tmp_path / str(at))).collect()}
         assert got == {urns[i]: i for i in range(1, last + 1)}
+
+
+def test_deprecated_upstream_has_no_last_hop(spark, tmp_path):
+    urns = _chain(spark, tmp_path, ["dashboard" if i in (1, 4, 10) else "dataset" for i in range(1, 11)])
+    got = {(r.source, r.subject, r.hops) for r in catalog.deprecated_upstream_catalog(spark, str(tmp_path)).collect()}
+    assert got == {(urns[0], urns[i], i + 1) for i in (1, 4, 10)}
+    n = {r.kind: r.n_subjects for r in catalog.self_check_summary(spark, str(tmp_path)).collect()}
+    assert n["deprecated_upstream_of_live"] == 3
