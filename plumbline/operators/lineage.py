@@ -18,10 +18,10 @@ def lineage_diff(claimed: DataFrame, computed: DataFrame) -> DataFrame:
 def resolve_sources(names: DataFrame, entity: DataFrame) -> DataFrame:
     """names(name) of tables in SQL text -> (name, urn, status): the entity whose relation ends with the name's dotted parts.
 
-    Suffixes of one to three parts are keys of an equi-join, so no name is compared with every entity. Exactly one match resolves it.
+    Suffixes of all lengths are keys of an equi-join, so no name is compared with every entity. Exactly one match resolves it.
     """
     parts = F.split(F.lower(F.col("relation")), r"\.")
-    ends = entity.where(F.col("relation").isNotNull()).select("urn", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(3))), lambda n: F.array_join(F.slice(parts, -n, n), "."))).alias("_k"))
+    ends = entity.where(F.col("relation").isNotNull()).select("urn", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))).alias("_k"))
     j = names.select("name").distinct().withColumn("_k", F.lower("name")).join(ends, "_k", "left")
     per = j.groupBy("name").agg(F.count_distinct("urn").alias("n"), F.min("urn").alias("urn"))
     return per.select("name", F.when(F.col("n") == 1, F.col("urn")).alias("urn"), F.when(F.col("n") == 1, "resolved").when(F.col("n") == 0, "unknown").otherwise("ambiguous").alias("status"))

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pandas as pd
 
+from plumbline.operators.lineage import resolve_sources
 from plumbline.queries import catalog, checks, corpus
 
 
@@ -70,3 +71,10 @@ def test_deprecated_upstream_has_no_last_hop(spark, tmp_path):
     assert got == {(urns[0], urns[i], i + 1) for i in (1, 4, 10)}
     n = {r.kind: r.n_subjects for r in catalog.self_check_summary(spark, str(tmp_path)).collect()}
     assert n["deprecated_upstream_of_live"] == 3
+
+
+def test_names_of_four_parts_resolve(spark):
+    rel = spark.createDataFrame([("u", "srv.db.sch.tab"), ("v", "tab2")], "urn string, relation string")
+    names = spark.createDataFrame([("Srv.db.sch.tab",), ("db.sch.tab",), ("x.srv.db.sch.tab",)], "name string")
+    got = {r.name: (r.urn, r.status) for r in resolve_sources(names, rel).collect()}
+    assert got == {"Srv.db.sch.tab": ("u", "resolved"), "db.sch.tab": ("u", "resolved"), "x.srv.db.sch.tab": (None, "unknown")}
