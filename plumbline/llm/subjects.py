@@ -43,8 +43,6 @@ BEARING = 0.3
 #: What a labelled document may have of subjects it is not labelled with; documents that a seed word counts for; the least summed weight
 #: of the terms of a document that takes part without labels.
 LEAK, SEED_DOCS, EVIDENCE = 0.02, 8.0, 0.03
-#: Weights up to this are taken as none when a mixture is worked out.
-FAINT = 1e-3
 
 #: Words that anchor a subject where labels are few; general vocabulary, any subject not listed is anchored by labels and its gloss.
 SEEDS = {
@@ -206,14 +204,13 @@ def _update(k: int, state):
             if weight is None:
                 share = mix[doc]
             else:
-                tells = weight[ids] > FAINT  # the others add nothing to a mixture
-                some, at, count = profiles[ids[tells]], doc[tells], weight[ids[tells]]
+                some, count = profiles[ids], weight[ids]
                 for _ in range(INNER):
-                    share = some * mix[at]
+                    share = some * mix[doc]
                     share *= (count / np.maximum(share.sum(axis=1), 1e-30))[:, None]
-                    mix = (np.stack([np.bincount(at, share[:, j], len(n)) for j in range(k)], axis=1) + 1e-6) * allowed
+                    mix = (np.stack([np.bincount(doc, share[:, j], len(n)) for j in range(k)], axis=1) + 1e-6) * allowed
                     mix /= mix.sum(axis=1, keepdims=True)
-                share = profiles[ids] * mix[doc]
+                share = some * mix[doc]
                 share /= np.maximum(share.sum(axis=1), 1e-30)[:, None]
             for j in range(k):
                 total[:, j] += np.bincount(ids, share[:, j], size)
