@@ -50,12 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a folder of this machine serves a local
+    master; on a cluster that would lose rows without an error, so it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jsc.get() if jsc.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -77,3 +80,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df``; for loops that are done with a round's result."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/plumbline-" in name:
+            at = spark._jvm.org.apache.hadoop.fs.Path(name)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -47,14 +47,35 @@ def test_children_inherit(spark):
     assert {(r.table_name, r.ref_name, r.kind, r.depth) for r in rows} == {("cat_field", "urn", "direct", 0), ("cat_edge", "target_field", "inherited", 1)}
 
 
+def test_orphans_of_orphans(spark):
+    """A source that never was: the asset made from it, its field, the asset made from that one, and the references to them."""
+    ent = [(f"urn:{x}", True, T(1), None, None) for x in "bcz"]
+    fld = [("urn:b", "x", T(2), None), ("urn:z", "y", T(2), None)]
+    edg = [edge(1, "urn:nobody", "urn:b"), edge(2, "urn:b", "urn:c", at=7), edge(3, "urn:z", "urn:b", "x"), edge(4, "urn:nobody", "urn:gone", "f"), edge(5, "urn:z", "urn:z", "y")]
+    rows = catalog_orphans(*tables(spark, ent, fld, edg)).collect()
+    got = {(r.table_name, r.record_id.split("@")[0], r.ref_name, r.state, r.depth) for r in rows}
+    assert got == {
+        ("cat_edge", "1", "source_urn", "missing", 0), ("cat_edge", "4", "source_urn", "missing", 0), ("cat_edge", "4", "target_urn", "missing", 0), ("cat_edge", "4", "target_field", "unjudged", 1),
+        ("cat_entity", "urn:b", "derived_by", "held", 1), ("cat_edge", "1", "target_urn", "held", 2), ("cat_edge", "3", "target_urn", "held", 2), ("cat_edge", "2", "source_urn", "held", 2),
+        ("cat_field", "urn:b#x", "urn", "held", 2), ("cat_entity", "urn:c", "derived_by", "held", 3), ("cat_edge", "3", "target_field", "held", 3), ("cat_edge", "2", "target_urn", "held", 4),
+    }
+
+
+def test_another_lifetime_is_another_record(spark):
+    ent = [("urn:a", True, T(1), None, None), ("urn:b", True, T(2), None, None)]
+    fld = [("urn:b", "x", T(1), T(3)), ("urn:b", "x", T(4), None)]  # the first lifetime began before its asset was there
+    rows = catalog_orphans(*tables(spark, ent, fld, [edge(1, "urn:a", "urn:b", "x", at=2), edge(2, "urn:a", "urn:b", "x", at=6)])).collect()
+    assert {(r.record_id.split("@")[0], r.kind) for r in rows} == {("urn:b#x", "direct"), ("1", "inherited")}
+
+
 def test_cascade_ends_on_cycles(spark):
-    links = spark.createDataFrame([("t", "a", "t", "b"), ("t", "b", "t", "c"), ("t", "c", "t", "a"), ("t", "d", "t", "c"), ("t", "e", "t", "x")], "table_name string, record_id string, parent_table string, parent_id string")
-    direct = spark.createDataFrame([("t", "a"), ("t", "a")], "table_name string, record_id string")
-    assert {(r.record_id, r.depth) for r in cascade(direct, links).collect()} == {("a", 0), ("c", 1), ("b", 2), ("d", 2)}
+    links = spark.createDataFrame([("t", "a", "t", "b"), ("t", "b", "t", "c"), ("t", "c", "t", "a"), ("t", "d", "t", "c"), ("t", "e", "t", "x")], "node_type string, node_id string, parent_type string, parent_id string")
+    direct = spark.createDataFrame([("t", "a"), ("t", "a")], "node_type string, node_id string")
+    assert {(r.node_id, r.depth) for r in cascade(direct, links).collect()} == {("a", 0), ("c", 1), ("b", 2), ("d", 2)}
 
 
 def test_empty(spark):
     assert catalog_orphans(*tables(spark)).count() == 0
     only_edges = catalog_orphans(*tables(spark, edg=[edge(1, "urn:a", "urn:b", "x")]))
-    assert {(r.ref_name, r.state) for r in only_edges.collect()} == {("source_urn", "missing"), ("target_urn", "missing")}
-    assert orphan_report(only_edges).count() == 2
+    assert {(r.ref_name, r.state) for r in only_edges.collect()} == {("source_urn", "missing"), ("target_urn", "missing"), ("target_field", "unjudged")}
+    assert orphan_report(only_edges).count() == 3
