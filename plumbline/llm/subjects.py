@@ -1,20 +1,22 @@
 """Subject areas of documents.
 
 The document-term matrix is factored into non-negative document mixtures and subject profiles by alternating multiplicative updates of
-the Kullback-Leibler objective. The components are anchored: their profiles start from hand-labelled documents and from a few seed words,
-and labelled documents may only use the components of their labels (a small leak lets the matrix overrule a wrong label). Each round is
-one pass over the matrix: a document's mixture is worked out from the profiles at hand, and the new profiles are sums over documents,
-which Spark adds up per term; neither factor is ever held for all documents.
-
-A term's loading is the part of its occurrences that the factorisation assigns to a subject. Common phrases, figures of speech and notices
-stand beside every subject, so theirs are spread out and they bear no subject. A sentence treats the subjects that its clearly loaded terms
-point to; a listing of columns (fenced code, a JSON object, YAML items) counts as one sentence. A document has a subject if at least
-``SHARE`` of its subject-bearing sentences treat it.
+the Kullback-Leibler objective. The components are anchored: their profiles start from hand-labelled documents and from the words of the
+subjects' glosses, and labelled documents may only use the components of their labels (a small leak lets the matrix overrule a wrong
+label). Each round is one pass over the matrix: a document's mixture is worked out from the profiles at hand, and the new profiles are
+sums over documents, which Spark adds up per term; neither factor is ever held for all documents.
+
+The subjects are read off the mixtures of the last round. A document's mixture is worked out from all its terms, and from there the
+mixtures of its sentences: the same update over the terms of one sentence, started half from the document's mixture. A sentence bears a
+subject if the mass of its terms that tell of subjects is large enough, and it treats the components of its mixture that reach half of the
+largest. Common phrases, figures of speech and notices stand beside every subject, so their terms have no weight in a mixture. A listing
+of columns (fenced code, a JSON object, YAML items, a select list) counts as one sentence. A document has a subject if at least ``SHARE``
+of its subject-bearing sentences treat it.
 
 Defined cases: null, empty and blank texts and null ids have none; labels of unknown subjects and null labels are left out, repeated ones
-count once; without any label the seed words alone anchor the components; several rows of one document id are judged
+count once; without any label the glosses alone anchor the components; several rows of one document id are judged
 one by one, and the id has the subjects of each; texts are read whole; empty tables give no rows; other columns play no part.
-The vocabulary is bounded: a term must be in ``RARE`` of all documents.
+The vocabulary is bounded: a term must be in ``RARE`` of all documents, and of those that are the ``VOCABULARY`` most frequent are used.
 """
 
 from __future__ import annotations
@@ -35,26 +37,19 @@ from plumbline.session import cut, table
 SHARE = 0.25
 #: A term is used if it is in at least this part of the documents (and three), and in no more than COMMON.
 RARE, COMMON = 5e-5, 0.5
-ROUNDS, INNER = 5, 6
+ROUNDS, INNER = 8, 6
+#: The labelled documents together weigh so many times as much as all documents when a term's shares are worked out; without that the
+#: many documents without labels draw the components towards languages.
+LABEL_MASS = 2.0
+#: The most terms that the factors are kept for; with their profiles they are what the driver holds (some 20 MB for eight subjects).
+VOCABULARY = 1 << 18
 #: A loading from here on is clear; PRIOR documents of no information are added to each term's.
 CLEAR, PRIOR = 0.6, 4.0
 #: The least weight of its clear terms with which a sentence bears a subject: less than one term has that is found beside its subject only.
 BEARING = 0.3
-#: What a labelled document may have of subjects it is not labelled with; documents that a seed word counts for; the least summed weight
+#: What a labelled document may have of subjects it is not labelled with; documents that a word of a gloss counts for; the least summed weight
 #: of the terms of a document that takes part without labels.
-LEAK, SEED_DOCS, EVIDENCE = 0.02, 8.0, 0.03
-
-#: Words that anchor a subject where labels are few; general vocabulary, any subject not listed is anchored by labels and its gloss.
-SEEDS = {
-    "science": "experiment hypothesis specimen laboratory genome isotope microscope telescope mikroskop labor genom hypothese laboratoire génome microscope hypothèse laboratorio genoma hipótesis microscopio эксперимент геном гипотеза микроскоп образец 实验 基因组 假设 显微镜 样本",
-    "law": "court lawsuit plaintiff defendant judge verdict statute lawyer gericht klage urteil anwalt gesetz tribunal avocat juge jugement verdict loi juez abogado veredicto demandante ley суд иск адвокат закон приговор истец 法院 法律 律师 判决 原告 证人",
-    "sport": "team athlete goalkeeper league championship coach tournament mannschaft torwart spieler trainer turnier équipe athlète gardien championnat entraîneur tournoi equipo atleta portero campeonato entrenador torneo команда спортсмен вратарь турнир тренер матч 球队 运动员 守门员 比赛 教练 联赛",
-    "software": "compiler debug deployment source code programming software compiler quellcode programmierung compilateur programmeur déploiement compilador programador despliegue компилятор код отладка программист 编译器 源代码 部署 调试 单元测试",
-    "health": "patient physician diagnosis vaccine prescription hospital nurse arzt patient diagnose impfung rezept krankenhaus médecin patient diagnostic vaccin ordonnance hôpital médico paciente diagnóstico vacuna receta hospital врач пациент диагноз вакцина больница 医生 患者 诊断 疫苗 处方 医院",
-    "finance": "loan mortgage dividend invoice interest bank tax credit darlehen hypothek dividende rechnung zinssatz steuer überweisung prêt hypothèque dividende facture impôt virement préstamo hipoteca dividendo factura impuesto кредит ипотека дивиденд налог счёт 贷款 抵押 股息 发票 税 利率",
-    "logistics": "shipment freight cargo pallet warehouse carrier customs sendung fracht palette lager spediteur zoll expédition fret palette entrepôt transporteur douane envío flete palé almacén transportista aduana груз паллета склад перевозчик таможня доставка 货物 托盘 仓库 海关 运输",
-    "education": "student teacher classroom curriculum semester school exam homework schüler lehrer lehrplan semester schule prüfung élève étudiant enseignant semestre école examen alumno estudiante profesor semestre escuela examen ученик студент учитель семестр школа экзамен 学生 教师 课程 学期 学校 考试",
-}
+LEAK, GLOSS_DOCS, EVIDENCE = 0.02, 8.0, 0.002
 
 _HAN = "㐀-鿿豈-﫿"
 _LETTER = rf"[^\W\d_{_HAN}]"
@@ -62,102 +57,183 @@ _TOKEN = re.compile(rf"[{_HAN}]+|[^\W_{_HAN}]*(?:_[^\W_{_HAN}]*)+|{_LETTER}+(?:[
 _LISTING = re.compile(
     r"```.*?(?:```|\Z)"  # fenced code
     r"|\{[^{}]*\}"  # a JSON object
-    r"|(?:^|\n)(?:[ \t]*\w+:[ \t]*\n){0,4}(?:[ \t]*-[ \t]*name:[^\n]*(?:\n[ \t]+\w+:[ \t]*(?:\[[^\]\n]*\]|(?=\n)|\Z))*(?:\n|\Z)?)+"  # YAML items
-    r"|\bselect\b[^.;]{0,20000}?\bfrom\b[^\n;]*",
+    r"|(?:^|\n)(?:[ \t]*\w+:[ \t]*\n){0,4}(?:[ \t]*-[ \t]*name:[^\n]*(?:\n[ \t]+\w+:[ \t]*(?:\[[^\]\n]*\]|(?=\n)|\Z))*(?:\n|\Z)?)+",  # YAML items
     re.S,
 )
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？｡।]+|\s*\n\s*")
 _INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF])
 
 
+_SELECT, _FROM, _STOP = re.compile(r"\bselect\b"), re.compile(r"\bfrom\b[^\n;]*"), re.compile(r"[.;]")
+
+
+def _select_lists(text: str) -> Iterator[tuple[int, int]]:
+    """Places of select lists up to the end of the line of their ``from``; no mark that ends a sentence may stand between the two. Each
+    part of the text is looked at once."""
+    at, source, stop, n = 0, None, -1, len(text)
+    for m in _SELECT.finditer(text):
+        if m.start() < at:
+            continue
+        if source is None or source.start() < m.end():
+            source = _FROM.search(text, m.end())
+            if source is None:
+                return
+        if stop < m.end():
+            found = _STOP.search(text, m.end())
+            stop = found.start() if found else n
+        if source.start() < stop:
+            yield m.start(), source.end()
+            at = source.end()
+
+
+def _prose(text: str) -> Iterator[tuple[bool, str]]:
+    at = 0
+    for a, b in _select_lists(text):
+        yield from ((False, s) for s in _END.split(text[at:a]) if s)
+        yield True, text[a:b]
+        at = b
+    yield from ((False, s) for s in _END.split(text[at:]) if s)
+
+
 def sentences(text: str) -> Iterator[tuple[bool, str]]:
     """(is a listing, text) of every sentence or listing of a document, in one spelling."""
-    text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE)).lower().replace("\r", "")
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
+    text = text.lower().replace("\r", "")
     at = 0
     for m in _LISTING.finditer(text):
-        yield from ((False, s) for s in _END.split(text[at : m.start()]) if s)
+        yield from _prose(text[at : m.start()])
         yield True, m.group()
         at = m.end()
-    yield from ((False, s) for s in _END.split(text[at:]) if s)
+    yield from _prose(text[at:])
 
 
-def terms(listing: bool, sentence: str) -> list[str]:
-    """Words and pairs of adjacent words; names with underscores count only in listings, part by part; runs without blanks by pairs and triples of characters."""
-    out, before = [], ""
-    for t in _TOKEN.findall(sentence):
-        if "㐀" <= t[0] <= "鿿":
-            out += [t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)]
-            before = ""
-        elif "_" in t:
-            if listing:
-                parts = [p for p in t.split("_") if p]
-                out += parts
-                out += [f"{a} {b}" for a, b in zip(parts, parts[1:])]
-            before = ""
-        elif t[0].isalpha():
-            if len(t) > 1:
-                out.append(t)
-            if before:
-                out.append(f"{before} {t}")
-            before = t
-        else:
-            before = ""
-    return out
+class Coder(dict):
+    """Tokens to terms: words and pairs of adjacent words; names with underscores count only in listings, part by part; runs without
+    blanks by pairs and triples of characters. A token's entry is a tuple of word numbers, 0 for a gap that no pair spans."""
+
+    #: Tokens and words that are remembered before the tables start anew.
+    LIMIT = 300_000
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.number: dict[str, int] = {}
+        self.listing: dict[str, tuple] = {}
+        self.words, self.single, self.pairs = [""], [False], [False]
+        self.hashes = np.zeros(1, np.uint64)
 
-def term_codes(words: list[str]) -> np.ndarray:
-    """32-bit codes of terms. A term is known by its code from here on; two terms of a vocabulary of 10**5 share one in about one of 10**4 cases."""
-    if not words:
-        return np.zeros(0, np.int32)
-    return (pd.util.hash_array(np.array(words, dtype=object), categorize=False) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def _word(self, w: str, single: bool, pairs: bool) -> int:
+        k = self.number.get(w)
+        if k is None:
+            k = self.number[w] = len(self.words)
+            self.words.append(w)
+            self.single.append(single)
+            self.pairs.append(pairs)
+        return k
+
+    def __missing__(self, t: str) -> tuple:
+        if "㐀" <= t[0] <= "鿿":
+            grams = [t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)]
+            got = (0, *(self._word(g, True, False) for g in grams), 0)
+        elif "_" not in t and t[0].isalpha():
+            got = (self._word(t, len(t) > 1, True),)
+        else:
+            got = (0,)
+        self[t] = got
+        return got
+
+    def in_listing(self, t: str) -> tuple:
+        if "_" not in t:
+            return self[t]
+        got = self.listing.get(t)
+        if got is None:
+            got = self.listing[t] = (0, *(self._word(p, True, True) for p in t.split("_") if p), 0)
+        return got
+
+    def numbers(self, listing: bool, sentence: str) -> list[int]:
+        out: list[int] = []
+        for t in _TOKEN.findall(sentence):
+            out += self.in_listing(t) if listing else self[t]
+        return out
+
+    def codes(self, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the terms of sentences that lie one after the other in ``numbers``, and how many each has."""
+        if len(self.hashes) < len(self.words):
+            new = pd.util.hash_array(np.array(self.words[len(self.hashes) :], dtype=object), categorize=False)
+            self.hashes = np.concatenate((self.hashes, new))
+        h, single, pairs = self.hashes[numbers], np.array(self.single)[numbers], np.array(self.pairs)[numbers]
+        sentence = np.repeat(np.arange(len(sizes)), sizes)
+        out, keep = np.zeros((len(numbers), 2), np.uint64), np.zeros((len(numbers), 2), bool)
+        out[:, 0], keep[:, 0] = h, single
+        if len(numbers) > 1:
+            keep[1:, 1] = pairs[1:] & pairs[:-1] & (sentence[1:] == sentence[:-1])
+            z = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+            z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            out[1:, 1] = z ^ (z >> np.uint64(32))
+        return out[keep].view(np.int64), np.bincount(sentence, keep.sum(axis=1), len(sizes)).astype(np.int64)
+
+    def of(self, listing: bool, sentence: str) -> np.ndarray:
+        numbers = np.array(self.numbers(listing, sentence), np.int64)
+        return self.codes(numbers, np.array([len(numbers)]))[0]
 
 
 def coded_sentences(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, labels) -> (doc_id, labels, listing, sizes, codes): the only pass over the texts. ``sizes`` has the number of
-    terms of every sentence, ``listing`` says which of them are listings, ``codes`` holds the terms of all."""
+    terms of every sentence, ``listing`` says which of them are listings, ``codes`` holds the 64-bit codes of the terms of all."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder()
         for b in batches:
-            flags, sizes, codes = [], [], []
-            for t in b["text"]:
-                got = [(listing, terms(listing, s)) for listing, s in sentences(t)]
-                got = [(listing, ts) for listing, ts in got if ts]
-                flags.append(np.fromiter((listing for listing, _ in got), bool, len(got)))
-                sizes.append(np.fromiter((len(ts) for _, ts in got), np.int32, len(got)))
-                codes.append(term_codes([t for _, ts in got for t in ts]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "labels": b["labels"], "listing": flags, "sizes": sizes, "codes": codes})
-
-    return docs.select("doc_id", "text", "labels").mapInPandas(run, "doc_id long, labels long, listing array<boolean>, sizes array<int>, codes array<int>")
+            if len(coder.words) > Coder.LIMIT or len(coder) > Coder.LIMIT:
+                coder = Coder()
+            flags, sizes, numbers, per = [], [], [], []
+            for t in b.column(1).to_pylist():
+                before = len(sizes)
+                for listing, s in sentences(t):
+                    got = coder.numbers(listing, s)
+                    if any(got):
+                        flags.append(listing)
+                        sizes.append(len(got))
+                        numbers += got
+                per.append(len(sizes) - before)
+            codes, n_terms = coder.codes(np.array(numbers, np.int64), np.array(sizes, np.int64))
+            flags, per = np.array(flags, bool), np.array(per, np.int64)
+            ends = np.concatenate(([0], np.cumsum(n_terms)))
+            rows = np.concatenate(([0], np.cumsum(per)))
+            lists = (pa.ListArray.from_arrays(pa.array(rows, pa.int32()), x) for x in (pa.array(flags), pa.array(n_terms, pa.int32())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists, pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(codes))], ["doc_id", "labels", "listing", "sizes", "codes"])
+
+    return docs.select("doc_id", "text", "labels").mapInArrow(run, "doc_id long, labels long, listing array<boolean>, sizes array<int>, codes array<long>")
 
 
 def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column laid end to end, and the number of each row's."""
     offsets = np.asarray(column.offsets, np.int64)
-    return np.asarray(column.flatten()).astype(dtype), np.diff(offsets)
+    return np.asarray(column.flatten()).astype(dtype, copy=False), np.diff(offsets)
 
 
-def _distinct(doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, code) pairs in order."""
-    key = np.unique((doc.astype(np.int64) << 32) | code.view(np.uint32).astype(np.int64))
-    return key >> 32, (key & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+def _distinct(row: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, place) pairs in order; places lie below ``width``."""
+    key = np.unique(row * width + place)
+    return key // width, key % width
 
 
 def vocabulary(coded: DataFrame, n_docs: int) -> np.ndarray:
-    """Codes of the corpus's terms, sorted. Document frequencies cover the prose of all texts; at most (terms of a text) / RARE terms remain."""
+    """Codes of the corpus's terms, sorted. Document frequencies cover the prose of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flags, n_sentences = _flat(b.column(0), bool)
+            flags, _ = _flat(b.column(0), bool)
             sizes, _ = _flat(b.column(1), np.int64)
-            codes, n_codes = _flat(b.column(2), np.int32)
+            codes, n_codes = _flat(b.column(2), np.int64)
             prose = ~np.repeat(flags, sizes)
-            doc, code = _distinct(np.repeat(np.arange(b.num_rows), n_codes)[prose], codes[prose])
-            values, counts = np.unique(code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(counts, pa.int64())], ["code", "n"])
+            values, place = np.unique(codes[prose], return_inverse=True)
+            _, place = _distinct(np.repeat(np.arange(b.num_rows), n_codes)[prose], place, max(1, len(values)))
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.bincount(place, minlength=len(values)), pa.int64())], ["code", "n"])
 
-    df = coded.select("listing", "sizes", "codes").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    kept = df.where((F.col("n") >= max(3, RARE * n_docs)) & (F.col("n") <= max(10, COMMON * n_docs))).select("code").toPandas()
-    return np.sort(kept["code"].to_numpy(np.int32))
+    df = coded.select("listing", "sizes", "codes").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    kept = df.where((F.col("n") >= max(3, RARE * n_docs)) & (F.col("n") <= max(10, COMMON * n_docs))).orderBy(F.desc("n"), "code").limit(VOCABULARY)
+    return np.sort(kept.select("code").toPandas()["code"].to_numpy(np.int64))
 
 
 def _index(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -171,51 +247,61 @@ def term_matrix(coded: DataFrame, words) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes, n = _flat(b.column(1), np.int32)
+            codes, n = _flat(b.column(1), np.int64)
             place = _index(words.value, codes)
-            doc, term = _distinct(np.repeat(np.arange(b.num_rows), n)[place >= 0], place[place >= 0].astype(np.int32))
+            doc, term = _distinct(np.repeat(np.arange(b.num_rows), n)[place >= 0], place[place >= 0], len(words.value))
             offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b.num_rows))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(term, pa.int32()))], ["labels", "terms"])
 
     return coded.select("labels", "codes").mapInArrow(run, "labels long, terms array<int>")
 
 
+def mixtures(profiles: np.ndarray, weight: np.ndarray, ids: np.ndarray, n: np.ndarray, start: np.ndarray, allowed: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of terms (``n`` each, none empty) -> (mixtures, mass): INNER multiplicative updates of the mixtures under fixed profiles, and
+    the weight of a row's terms that each component takes."""
+    first = np.concatenate(([0], np.cumsum(n)))[:-1]
+    some, count, mix = profiles[ids], weight[ids], start
+    mass = np.zeros_like(mix)
+    for _ in range(INNER):
+        share = some * np.repeat(mix, n, axis=0)
+        share *= (count / np.maximum(share.sum(axis=1), 1e-30))[:, None]
+        mass = np.add.reduceat(share, first, axis=0)
+        mix = (mass + 1e-6) * allowed
+        mix = mix / mix.sum(axis=1, keepdims=True)
+    return mix, mass
+
+
 def _update(k: int, state):
-    """One pass over the matrix: partial sums of the new profiles. Without a state the mixtures are the labels."""
+    """One pass over the matrix: partial sums of the new profiles, labelled documents by their weight, and of the documents of a term.
+    Without profiles the mixtures are the labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, profiles, weight = state.value
-        total = np.zeros((size, k))
+        size, profiles, weight, heavy = state.value
+        total = np.zeros((size, k + 1))
         for b in batches:
-            ids, offsets = np.asarray(b.column(1).flatten()), np.asarray(b.column(1).offsets, np.int64)
-            offsets = offsets - offsets[0]
-            n = np.diff(offsets)
+            ids, n = _flat(b.column(1), np.int64)
             labels = ((np.asarray(b.column(0))[:, None] >> np.arange(k)) & 1).astype(float)
             labelled = labels.any(axis=1)
             number = np.repeat(np.arange(len(n)), n)
             keep = labelled if weight is None else (np.bincount(number, weight[ids], len(n)) > EVIDENCE) | labelled
-            keep &= n > 0
+            keep = keep & (n > 0)
             ids, n, labels, labelled = ids[keep[number]], n[keep], labels[keep], labelled[keep]
             if not len(n):
                 continue
-            doc = np.repeat(np.arange(len(n)), n)
             allowed = np.where(labelled[:, None], np.maximum(labels, LEAK), 1.0)
             mix = allowed / allowed.sum(axis=1, keepdims=True)
             if weight is None:
-                share = mix[doc]
+                share = np.repeat(mix, n, axis=0)
             else:
-                some, count = profiles[ids], weight[ids]
-                for _ in range(INNER):
-                    share = some * mix[doc]
-                    share *= (count / np.maximum(share.sum(axis=1), 1e-30))[:, None]
-                    mix = (np.stack([np.bincount(doc, share[:, j], len(n)) for j in range(k)], axis=1) + 1e-6) * allowed
-                    mix /= mix.sum(axis=1, keepdims=True)
-                share = some * mix[doc]
+                mix, _ = mixtures(profiles, weight, ids, n, mix, allowed)
+                share = profiles[ids] * np.repeat(mix, n, axis=0)
                 share /= np.maximum(share.sum(axis=1), 1e-30)[:, None]
+            share *= np.repeat(np.where(labelled, heavy, 1.0), n)[:, None]
             for j in range(k):
                 total[:, j] += np.bincount(ids, share[:, j], size)
+            total[:, k] += np.bincount(ids, minlength=size)
         some = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(total[some, j]) for j in range(k))], ["term", *(f"k{j}" for j in range(k))])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(total[some, j]) for j in range(k + 1))], ["term", *(f"k{j}" for j in range(k + 1))])
 
     return run
 
@@ -231,53 +317,82 @@ def _information(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return loading, np.clip(entropy / np.log(k) if k > 1 else entropy * 0 + 1, 0, 1) ** 2
 
 
-def factor(matrix: DataFrame, subjects: list[str], anchors: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """matrix -> loadings (terms x subjects), the part of each term's documents that belongs to each subject, with and without prior.
+def factor(matrix: DataFrame, subjects: list[str], anchors: np.ndarray, heavy: float = 1.0, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """matrix -> (profiles, weights, telling): the profiles (terms x subjects) and column weights of the last round, and the weights with
+    which a term tells of its subject in a sentence.
 
     The columns of the matrix are weighted by how much their terms tell; a language's common words tell nothing of a subject, and
     without the weights the components would settle on languages.
     """
     sc, k = matrix.sparkSession.sparkContext, len(subjects)
-    state = sc.broadcast((len(anchors), None, None))  # the vocabulary is bounded, see there
-    schema = "term int, " + ", ".join(f"k{j} double" for j in range(k))
+    state = sc.broadcast((len(anchors), None, None, heavy))  # the vocabulary is bounded, see there
+    schema = "term int, " + ", ".join(f"k{j} double" for j in range(k + 1))
     for step in range(rounds + 1):
-        sums = matrix.mapInArrow(_update(k, state), schema).groupBy("term").agg(*(F.sum(f"k{j}").alias(f"k{j}") for j in range(k))).toPandas()
-        mass = np.zeros(anchors.shape)
+        sums = matrix.mapInArrow(_update(k, state), schema).groupBy("term").agg(*(F.sum(f"k{j}").alias(f"k{j}") for j in range(k + 1))).toPandas()
+        mass, n = np.zeros(anchors.shape), np.zeros(len(anchors))
         if len(sums):
             mass[sums["term"].to_numpy()] = sums[[f"k{j}" for j in range(k)]].to_numpy()
-        mass += SEED_DOCS * anchors
+            n[sums["term"].to_numpy()] = sums[f"k{k}"].to_numpy()
+        mass, n = mass + GLOSS_DOCS * anchors, n + GLOSS_DOCS * anchors.sum(axis=1)
+        mass *= (n / np.maximum(mass.sum(axis=1), 1e-12))[:, None]  # shares by the weighted sums, as many documents as there are
         loading, weight = _information(mass)
         profiles = mass + 0.02 * loading + 1e-9
-        state = sc.broadcast((len(anchors), profiles / profiles.sum(axis=0), weight))
-    return loading, mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-12)
+        profiles = profiles / profiles.sum(axis=0)
+        state = sc.broadcast((len(anchors), profiles, weight, heavy))
+    top = loading.max(axis=1)
+    raw = (mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-12))[np.arange(len(mass)), loading.argmax(axis=1)]
+    telling = np.where(top >= CLEAR, np.clip(2 * raw - 1, 0, 1) ** 2 * np.sqrt(np.clip(2 * top - 1, 0, 1)), 0.0)
+    return profiles, weight, telling
 
 
-def subject_sentences(coded: DataFrame, clear, names: list[str]) -> DataFrame:
-    """-> (doc_id, subject, n, n_bearing): sentences that treat each subject, and sentences that treat any."""
+def subject_sentences(coded: DataFrame, state, names: list[str]) -> DataFrame:
+    """-> (doc_id, subject, n, n_bearing): sentences that treat each subject, and sentences that treat any, off the mixtures."""
     k = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, subject, weight = clear.value
+        known, profiles, weight, telling = state.value
         for b in batches:
             sizes, n_sentences = _flat(b.column(1), np.int64)
-            codes, _ = _flat(b.column(2), np.int32)
+            codes, n_codes = _flat(b.column(2), np.int64)
             place = _index(known, codes)
+            doc = np.repeat(np.arange(b.num_rows), n_codes)
+            rows, terms = _distinct(doc[place >= 0], place[place >= 0], len(known))
+            n = np.bincount(rows, minlength=b.num_rows)
+            of_doc = np.full((b.num_rows, k), 1.0 / k)
+            if len(terms):
+                of_doc[n > 0] = mixtures(profiles, weight, terms, n[n > 0], of_doc[n > 0])[0]
             hit = place >= 0
-            sentence = np.repeat(np.arange(len(sizes)), sizes)[hit]
-            score = np.bincount(sentence * k + subject[place[hit]], weight[place[hit]], len(sizes) * k).reshape(-1, k)
-            top = score.max(axis=1, initial=0.0)
+            hit[hit] = telling[place[hit]] > 0
+            inside = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hit], minlength=len(sizes))
+            home = np.repeat(np.arange(b.num_rows), n_sentences)
+            mass = np.zeros((len(sizes), k))
+            some = inside > 0
+            if some.any():
+                mass[some] = mixtures(profiles, telling, place[hit], inside[some], 0.5 * of_doc[home[some]] + 0.5 / k)[1]
+            top = mass.max(axis=1, initial=0.0)
             bearing = top >= BEARING
-            treats = (score >= 0.5 * top[:, None]) & bearing[:, None] & (score > 0)
-            doc = np.repeat(np.arange(b.num_rows), n_sentences)
-            n_bearing = np.bincount(doc, bearing, b.num_rows).astype(np.int64)
-            n = np.stack([np.bincount(doc, treats[:, j], b.num_rows) for j in range(k)], axis=1).astype(np.int64)
+            treats = (mass >= 0.5 * top[:, None]) & bearing[:, None]
+            n_bearing = np.bincount(home, bearing, b.num_rows).astype(np.int64)
+            n = np.stack([np.bincount(home, treats[:, j], b.num_rows) for j in range(k)], axis=1).astype(np.int64)
             row, j = np.nonzero(n)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([names[x] for x in j], pa.string()), pa.array(n[row, j]), pa.array(n_bearing[row])], ["doc_id", "subject", "n", "n_bearing"])
 
     return coded.select("doc_id", "sizes", "codes").mapInArrow(run, "doc_id long, subject string, n long, n_bearing long")
 
 
-def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rid: str = "doc_id", text: str = "text", seeds: dict[str, str] = SEEDS) -> DataFrame:
+def gloss_anchors(names: list[str], gloss: dict[str, str], known: np.ndarray) -> np.ndarray:
+    """Terms of the vocabulary that the name and gloss of one subject have, and those of no other."""
+    coder = Coder()
+    codes = [set(coder.of(False, f"{s} . {gloss.get(s, '')}".lower()).tolist()) for s in names]
+    anchors = np.zeros((len(known), len(names)))
+    for j, own in enumerate(codes):
+        rest = set().union(*(c for i, c in enumerate(codes) if i != j))
+        place = _index(known, np.array(sorted(own - rest), np.int64))
+        anchors[place[place >= 0], j] = 1.0
+    return anchors
+
+
+def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rid: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, subject, n, n_bearing) for every subject that at least SHARE of the document's subject-bearing sentences treat."""
     spark = documents.sparkSession
     names = sorted({r["subject"] for r in subjects.where(F.col("subject").isNotNull()).collect()})  # the allowed subjects, a handful
@@ -288,23 +403,16 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame
     docs = documents.select(F.col(rid).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}\p{C}]"))
     coded = cut(coded_sentences(docs.join(masks, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.lit(0).cast("long")))))
-    known = vocabulary(coded, coded.count())
+    n_docs, n_labelled = coded.agg(F.count("*"), F.count_if(F.col("labels") > 0)).first()
+    known = vocabulary(coded, n_docs)
     if not len(known) or not names:
         return spark.createDataFrame([], "doc_id long, subject string, n long, n_bearing long")
     sc = spark.sparkContext
     matrix = cut(term_matrix(coded, sc.broadcast(known)))
-    anchors = np.zeros((len(known), len(names)))
-    for j, s in enumerate(names):
-        place = _index(known, term_codes(sorted({x for w in (seeds.get(s) or gloss.get(s, "")).split() for x in (terms(False, w.lower()) or [w])})))
-        anchors[place[place >= 0], j] = 1.0
-    loading, pure = factor(matrix, names, anchors)
-    best = loading.argmax(axis=1)
-    top, raw = loading.max(axis=1), pure[np.arange(len(known)), best]
-    weight = np.clip(2 * raw - 1, 0, 1) ** 2 * np.sqrt(np.clip(2 * top - 1, 0, 1))
-    clear = top >= CLEAR
-    if not clear.any():
+    profiles, weight, telling = factor(matrix, names, gloss_anchors(names, gloss, known), LABEL_MASS * n_docs / n_labelled if n_labelled else 1.0)
+    if not telling.any():
         return spark.createDataFrame([], "doc_id long, subject string, n long, n_bearing long")
-    per = subject_sentences(coded, sc.broadcast((known[clear], best[clear], weight[clear])), names)
+    per = subject_sentences(coded, sc.broadcast((known, profiles, weight, telling)), names)
     return per.where(F.col("n") >= SHARE * F.col("n_bearing")).groupBy("doc_id", "subject").agg(F.max("n").alias("n"), F.max("n_bearing").alias("n_bearing"))
 
 
