@@ -59,8 +59,10 @@ def test_units_are_ordered_and_cover_the_text(t):
 def test_allocation_keeps_within_what_is_there(spec):
     asked = [{"category": c, "target_share": s / 100, "min_rows": m, "sample_rows": 50} for c, (s, m, _) in spec.items()]
     got = sampling.allocate(asked, {c: h for c, (_, _, h) in spec.items()})
-    need, have = sum(r["needed"] for r in got), sum(r["at_hand"] for r in got)
-    assert all(0 <= r["drawn"] <= r["at_hand"] for r in got) and sum(r["drawn"] for r in got) == min(need, have) and sum(r["unmet"] for r in got) == max(0, need - have)
+    have, floors = sum(r["at_hand"] for r in got), sum(min(m, h) for _, m, h in spec.values())
+    goal = max(50 if any(s for s, _, _ in spec.values()) else 0, floors)
+    assert all(min(spec[r["category"]][1], r["at_hand"]) <= r["drawn"] <= r["at_hand"] for r in got)
+    assert sum(r["quota"] for r in got) == goal and sum(r["drawn"] for r in got) == min(goal, have) and sum(r["unmet"] for r in got) == max(0, goal - have)
 
 
 @settings(max_examples=300, deadline=None)
