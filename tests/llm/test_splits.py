@@ -62,3 +62,27 @@ def test_shares_hold_and_origins_stay_together(spark):
     for name, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
         assert abs(sum(x.split_name == name for x in got) / len(got) - share) < 0.03
     assert splits.stratified_splits(claims.drop("split_name").where("false"), none, target).count() == 0
+
+
+def test_dealing_keeps_every_label_in_proportion():
+    r = random.Random(3)
+    kinds = {}
+    for _ in range(400):
+        size = int(r.paretovariate(1.1))
+        v = [size, *(sum(r.random() < p for _ in range(size)) for p in (0.5, 0.2, 0.02))]
+        kinds[tuple(v)] = kinds.get(tuple(v), 0) + r.choice([1, 1, 5, 1000])
+    targets = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    got = dict(splits.deal(sorted(kinds.items()), targets))
+    assert {v: sum(d.values()) for v, d in got.items()} == kinds
+    for c in range(4):
+        whole = sum(v[c] * n for v, n in kinds.items())
+        for s, t in targets.items():
+            assert abs(sum(v[c] * d.get(s, 0) for v, d in got.items()) / whole - t) < 0.005
+    assert splits.deal([], targets) == [] and splits.deal([((3, 0), 2)], {"all": 1.0}) == [((3, 0), {"all": 2})]
+
+
+def test_labels_come_from_the_data(spark):
+    rows = [("Positive ", "unique", "k")] * 2000 + [(None, "rare", "k"), ("negative", "unique", None)]
+    df = spark.createDataFrame(rows, "record_class string, claim_type string, source_kind string")
+    assert splits.record_labels(df) == [("record_class", ("positive",), True), ("claim_type", ("unique",), True), ("source_kind", ("k",), False)]
+    assert splits.record_labels(df.where("false")) == [(c, (), False) for c in splits.LABEL_COLUMNS]
