@@ -1,7 +1,7 @@
 """Sentence boundaries across languages and scripts.
 
-Nothing but the texts themselves says what an abbreviation is. One pass over all texts counts, per script (the language as far as a
-token shows it), how often a word type stands with and without a period, how often with a period at the end of a paragraph, which types
+Nothing but the texts themselves says what an abbreviation is. One pass over all texts counts, per language (that of the text, by its
+function words; the script where that tells nothing or a token is of another script), how often a word type stands with and without a period, how often with a period at the end of a paragraph, which types
 follow a period after it, and which types start paragraphs or follow marks that can only be ends. From the counts, summed up in Spark:
 
 * a *starter* is a type that is found at sure starts, more often than chance (log-likelihood ratio) or for a fair part of its uses;
@@ -16,15 +16,17 @@ line always does, a single line break never by itself.
 
 Defined cases: null, blank and empty texts have no units; repeated rows count once; a quote without its partner is an ordinary character;
 texts of any length are treated whole; empty tables give no rows; other columns play no part. A model is bounded: a type enters it only
-if it makes up a fixed part of all starts or periods.
+if it makes up a fixed part of the starts or periods of its own language.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import log
 
 import pandas as pd
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import cut, table
 
-#: A type enters the model if it has at least this part of all starts (or periods), and at least so many.
+#: A type enters the model if it has at least this part of its language's starts (or periods), and at least so many.
 PART, LEAST = 2e-4, 3
 #: Log-likelihood ratio of one degree of freedom at 0.1 % (10.8), and of a sure difference.
 SURE = 10.8
@@ -49,6 +51,7 @@ _OPENERS = "\"'“‘„‚«‹「『（([【［{〈《¡¿*-–—•·"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“", "‚": "‘", "‘": "’"}
 _BRACKETS = "([{（［【"
 _QUOTING = frozenset("\"'") | frozenset(_PAIRS) | frozenset(_PAIRS.values())
+_QUOTES = re.compile("[" + re.escape("".join(sorted(_QUOTING))) + "]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+(?:(?:[.,'’:/@-]|\.)[\p{L}\p{M}\p{N}_]+)*")
 _IDENT = regex.compile(r"[^\W\d]\w*_\w*|\w+(?:\.\w+)*_\w*")
 _NUMBER = regex.compile(r"[^\W\d_]?\p{N}[\p{N}.,:/-]*")
@@ -56,6 +59,32 @@ _NO_SPACE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _THAI = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}]")
 
 
+#: Function words by which a text's language is told from others of its script; all but a few are of one language.
+FUNCTION_WORDS = {
+    "LATIN": {
+        "en": "the of and to in it at or be must can then here per is that for are with by from this which be each not as when", "de": "der die das und ist nicht mit ein eine für von den dem wird sind im auf wenn zu",
+        "fr": "le les des et est une dans pour que du sont par sur pas qui avec au ce", "es": "el los las y es una para del por con se no cuando en son su como",
+        "it": "il di che è per della non con sono gli nel dei alla questo ogni ed", "pt": "os as não uma com em do da são cada quando pelo ao seu por um",
+        "nl": "het een van en niet voor met zijn wordt op bij deze aan ook elke is", "pl": "i w nie się na jest do że są dla przez jako oraz każdy", "tr": "ve bir bu için ile her olarak değil olan veya en", "sv": "och att det som en är av för inte med till den varje",
+        "cs": "a je se na že pro není jako nebo každý byl jsou", "vi": "và của là các một không được trong cho với", "id": "dan yang di untuk dengan tidak dari ini adalah setiap",
+    },
+    "CYRILLIC": {"ru": "и в не на с что для по это как из или каждый если", "uk": "і та у не на з що для як є або кожен якщо це", "bg": "и в не на с за че от са да се като всеки"},
+    "ARABIC": {"ar": "في من على إلى أن هذا التي لا كل أو", "fa": "و در به از که این را با است هر", "ur": "اور کے میں کی ہے کا سے پر ہر"},
+}
+_LANGUAGE_OF = {s: {w: frozenset(k for k, ws in of.items() if w in ws.split()) for ws in of.values() for w in ws.split()} for s, of in FUNCTION_WORDS.items()}
+
+
+def language_of(text: str) -> tuple[str, str]:
+    """(script, language) of a text: its function words vote, a word of several languages for each; ('', '') where none is found."""
+    votes: Counter = Counter()
+    for w, n in Counter(text.lower().split()).items():
+        for script, known in _LANGUAGE_OF.items():
+            for k in known.get(w, ()):
+                votes[script, k] += n
+    return min(votes, key=lambda k: (-votes[k], k)) if votes else ("", "")
+
+
+@lru_cache(maxsize=1 << 17)
 def script_of(word: str) -> str:
     """Script of a token's first letter, from its Unicode name."""
     for c in word:
@@ -64,6 +93,14 @@ def script_of(word: str) -> str:
     return "-"
 
 
+def key_of(word: str, language: tuple[str, str]) -> str:
+    """What a token's counts are kept under: the language of its text; its script if that is another one, or if it is of a class (an
+    identifier, a number) that is the same in all languages."""
+    script = script_of(word)
+    return f"{script}:{language[1]}" if script == language[0] and type_of(word)[:1] != "#" else script
+
+
+@lru_cache(maxsize=1 << 17)
 def type_of(word: str) -> str:
     """The type that is counted: identifiers and numbers are classes, names keep their case only as a sign of a capital."""
     if _IDENT.fullmatch(word):
@@ -96,9 +133,8 @@ def spans(text: str) -> list[tuple[int, int]]:
     """Paired quotes and brackets of a paragraph, outermost only, as (position of the opening mark, position of the closing one). A mark
     without its partner is an ordinary character. One pass; every mark is put on the stack and taken off once."""
     pairs, stack, waiting, n = [], [], Counter(), len(text)
-    for i, c in enumerate(text):
-        if c not in _QUOTING:
-            continue
+    for m in _QUOTES.finditer(text):
+        i, c = m.start(), m.group()
         before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
         if waiting[c] and _closes(c, before, after):
             while True:  # what was opened inside and not closed falls away
@@ -144,6 +180,8 @@ def _next_word(text: str, at: int) -> str:
 
 def marks(text: str) -> Iterator[Mark]:
     """Candidate ends of a paragraph."""
+    if not _MARK.search(text):
+        return
     inside = spans(text)
     starts = {a for a, _ in inside}
     full = len(text.rstrip(_OUTER))
@@ -187,84 +225,101 @@ def observe(texts: Iterator[str]) -> Counter:
     """Counts of one batch: (what, script, type[, following type]) -> n."""
     c: Counter = Counter()
     for text in texts:
+        language = language_of(text or "")
         for paragraph in _PARAGRAPH.split(text or ""):
             body = paragraph.strip(_OUTER)
             if not body:
                 continue
             first = _next_word(body, 0)
-            c["start", script_of(first), type_of(first)] += 1
-            with_period = set()
+            c["start", key_of(first, language), type_of(first)] += 1
             for m in marks(body):
                 if m.closed or (m.glued and not m.last):
                     continue
                 if _sure(m):
                     if m.next:
-                        c["start", script_of(m.next), type_of(m.next)] += 1
+                        c["start", key_of(m.next, language), type_of(m.next)] += 1
                     c["end", "-", ""] += m.last
                     c["ends", "-", ""] += 1
                 elif m.text == "." and m.word:
-                    s, w = script_of(m.word), type_of(m.word)
+                    s, w = key_of(m.word, language), type_of(m.word)
                     c["dot", s, w] += 1
                     c["last", s, w] += m.last
-                    with_period.add(m.at)
                     if m.next:
                         c["pair", s, w, type_of(m.next)] += 1
             for w in _WORD.finditer(body):
-                c["all", script_of(w.group()), type_of(w.group())] += 1
+                c["all", key_of(w.group(), language), type_of(w.group())] += 1
     return c
 
 
 @dataclass
 class Model:
-    """What was learned, per script."""
+    """What was learned, per language."""
 
-    abbreviations: set = field(default_factory=set)  # (script, type)
+    abbreviations: set = field(default_factory=set)  # (language, type)
     starters: set = field(default_factory=set)
-    collocations: set = field(default_factory=set)  # (script, type, next type)
+    collocations: set = field(default_factory=set)  # (language, type, next type)
     after_number: set = field(default_factory=set)  # types that follow numbers with a period and start nothing
+    known: set = field(default_factory=set)  # (language, type): seen with a period often enough to be judged in that language
+
+    def __post_init__(self) -> None:
+        self.lend()
+
+    def lend(self) -> None:
+        """A type that a language says nothing of is judged as in the other languages of its script: texts quote one another."""
+        self.lent = {(s.split(":")[0], w) for s, w in self.abbreviations}
+        self.lent_pairs = {(s.split(":")[0], w, f) for s, w, f in self.collocations}
+
+    def abbreviates(self, key: str, w: str) -> bool:
+        return (key, w) in self.abbreviations or ((key, w) not in self.known and (key.split(":")[0], w) in self.lent)
+
+    def goes_on(self, key: str, w: str, following: str) -> bool:
+        return (key, w, following) in self.collocations or ((key, w) not in self.known and (key.split(":")[0], w, following) in self.lent_pairs)
 
 
 def learn(counts: DataFrame) -> Model:
     """counts(what, script, word, follow, n), summed up over all texts -> the model."""
-    total = {r["what"]: r["n"] for r in counts.groupBy("what").agg(F.sum("n").alias("n")).collect()}
-    floor = {w: max(LEAST, int(PART * total.get(w, 0))) for w in ("start", "dot", "pair")}
+    totals = counts.groupBy("what", "script").agg(F.sum("n").alias("n"))
+    total: dict[tuple, int] = {(r["what"], r["script"]): r["n"] for r in totals.collect()}  # a row per language
+    floors = F.broadcast(totals.withColumn("_floor", F.greatest(F.lit(LEAST), F.floor(PART * F.col("n")))).select("what", "script", "_floor"))
+    floored = counts.join(floors, ["what", "script"])
 
-    def get(what: str, least: int) -> dict:
-        rows = counts.where((F.col("what") == what) & (F.col("n") >= least)).collect()  # at most 1 / PART types, by the floor
+    def get(what: str, least) -> dict:
+        rows = floored.where((F.col("what") == what) & (F.col("n") >= least)).collect()  # at most 1 / PART types of a language, by the floor
         return {((r["script"], r["word"], r["follow"]) if what == "pair" else (r["script"], r["word"])): r["n"] for r in rows}
 
-    start, dot = get("start", floor["start"]), get("dot", floor["dot"])
-    last, pair = get("last", 1) if not dot else {}, get("pair", max(2, floor["pair"] // 4))
+    start, dot = get("start", F.col("_floor")), get("dot", F.col("_floor"))
+    pair = get("pair", F.greatest(F.lit(2), F.floor(F.col("_floor") / 4)))
     keys = counts.sparkSession.createDataFrame([(*k,) for k in {*start, *dot}] or [("", "")], "script string, word string")
     seen = {(r["what"], r["script"], r["word"]): r["n"] for r in counts.where(F.col("what").isin("all", "last")).join(F.broadcast(keys), ["script", "word"], "left_semi").collect()}
-    n_start, n_all = total.get("start", 0), total.get("all", 0)
-    n_dot = total.get("dot", 0)
     model = Model()
     for (s, w), k in start.items():
-        uses = max(seen.get(("all", s, w), k), k)
+        uses, n_start, n_all = max(seen.get(("all", s, w), k), k), total.get(("start", s), 0), total.get(("all", s), 0)
         if k >= 0.02 * uses or llr(k, n_start, uses - k, max(1, n_all - n_start)) > SURE:
             model.starters.add((s, w))
-    ends, at_end = max(1, total.get("ends", 0)), total.get("end", 0)
-    n_last = total.get("last", 0)
-    rate_k, rate_n = (at_end, ends) if at_end and ends >= 20 else (n_last, max(1, n_dot))
-    del last
+    ends, at_end = max(1, total.get(("ends", "-"), 0)), total.get(("end", "-"), 0)
     for (s, w), k in dot.items():
         if w in ("#id", "#num") or not w:
             continue
+        n_dot, n_all, n_last = total[("dot", s)], total.get(("all", s), 0), total.get(("last", s), 0)
+        rate_k, rate_n = (at_end, ends) if at_end and ends >= 20 else (n_last, max(1, n_dot))
         uses = max(seen.get(("all", s, w), k), k)
         often = llr(k, uses, n_dot - k, max(1, n_all - uses)) > SURE and k >= 0.5 * uses
         never_last = llr(seen.get(("last", s, w), 0), k, rate_k, rate_n) < -SURE and seen.get(("last", s, w), 0) <= 0.1 * k
         if often and never_last:
             model.abbreviations.add((s, w))
-    of_number = Counter()
+    of_number, starts_of = Counter(), Counter()
+    for (s, w), k in start.items():
+        starts_of[w] += k
     for (s, w, f), k in pair.items():
         if w == "#num":
             of_number[f] += k
+    n_start = sum(n for (what, _), n in total.items() if what == "start")
     for (s, w, f), k in pair.items():
         n = dot.get((s, w), 0)
-        starts = sum(start.get((x, f), 0) for x in {a for a, b in start if b == f})
-        if n and k >= 0.5 * n and llr(k, n, starts, max(1, n_start)) > SURE and ((s, w) in model.abbreviations or _short(w)):
+        if n and k >= 0.5 * n and llr(k, n, starts_of[f], max(1, n_start)) > SURE and ((s, w) in model.abbreviations or _short(w)):
             model.collocations.add((s, w, f))
+    model.known = set(dot)
+    model.lend()
     starting = {w for _, w in model.starters}
     model.after_number = {f for f, k in of_number.items() if f not in starting and k >= LEAST}
     return model
@@ -275,13 +330,12 @@ def _short(w: str) -> bool:
     return (len(w) == 1 and w.isalpha()) or ("." in w and all(len(p) <= 2 and p.isalpha() for p in w.split(".")))
 
 
-def ends_here(m: Mark, model: Model, unit_start: int) -> bool:
+def ends_here(m: Mark, model: Model, unit_start: int, language: tuple[str, str] = ("", "")) -> bool:
     """Does the sentence end at this mark?"""
     if m.last:
         return True
     nxt, t = m.next, type_of(m.next)
-    s = script_of(nxt)
-    begins = (s, t) in model.starters
+    begins = (key_of(nxt, language), t) in model.starters
     lower = nxt[:1].islower()
     capital = nxt[:1].isupper() or nxt[:1].istitle()
     uncased = nxt[:1].isalpha() and not lower and not capital
@@ -297,27 +351,27 @@ def ends_here(m: Mark, model: Model, unit_start: int) -> bool:
         return True
     if m.glued and capital and begins and m.text == ".":
         w = m.word.rpartition(".")[2]
-        return len(w) > 1 and (script_of(w), type_of(w)) not in model.abbreviations
+        return len(w) > 1 and not model.abbreviates(key_of(w, language), type_of(w))
     if m.glued:
         return bool(_NO_SPACE.match(nxt[:1])) and m.text[0] in ".!?…" and not m.word[-1:].isdigit()
     if m.text[0] in "!?":
         return begins or not lower
     if m.text.startswith(("..", "…")):
         return begins or capital or uncased
-    ws, w = script_of(m.word), type_of(m.word)
+    ws, w = key_of(m.word, language), type_of(m.word)
     if w == "#num":
         if t in model.after_number:
             return False
         return begins or capital or uncased
-    if (ws, w) in model.abbreviations or _short(w):
-        return begins and (ws, w, t) not in model.collocations
+    if model.abbreviates(ws, w) or _short(w):
+        return begins and not model.goes_on(ws, w, t)
     # sentences seldom begin with a number, abbreviations often stand before one
     return begins or not (lower or nxt[:1].isdigit()) or not m.word
 
 
 def units(text: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of every sentence unit in code points."""
-    out, at = [], 0
+    out, at, language = [], 0, language_of(text)
     pieces = [(m.start(), m.end()) for m in _PARAGRAPH.finditer(text)]
     for stop, following in [*pieces, (len(text), len(text))]:
         body = text[at:stop]
@@ -325,7 +379,7 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
         for m in marks(body):
             if m.stop <= begin:
                 continue
-            if ends_here(m, model, begin):
+            if ends_here(m, model, begin, language):
                 _thai(body, begin, m.stop, at, out)
                 begin = m.stop
                 while begin < len(body) and body[begin] in _OUTER:
