@@ -7,7 +7,8 @@ those that differ (a collision of 90 bits) are grouped once more by their values
 
 Defined cases: null and blank sentences are no records here; a sentence without any word has the empty word list, and all such are equal;
 null and blank column names are the empty set; repeated rows of one record id are one record; an empty table gives no groups; other
-columns play no part. A group of any size costs one partially aggregated minimum, never a list of its members.
+columns play no part; a record may have any number of names. A group of any size costs one partially aggregated minimum, never a list of
+its members; groups of more than ``HOT_ROWS`` records, of which there are at most as many as millions of records, are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -22,20 +23,32 @@ from plumbline.llm.words import is_blank, names, words
 from plumbline.session import cut, table
 
 
+#: A group of more records is joined by broadcast of its one row; there are at most (records / HOT_ROWS) of them.
+HOT_ROWS = 1_000_000
+
+
 def _pair_hash(field: str, value: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(field), value)
 
 
 def _set_hash(field: str, values: Column, seed: int) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + F.pmod(_pair_hash(field, x, seed), F.lit(1 << 45)))
+    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: F.pmod(acc + F.pmod(_pair_hash(field, x, seed), F.lit(1 << 45)), F.lit(1 << 45)))
 
 
 def fingerprint(fields: dict[str, Column], sets: dict[str, Column], seed: int) -> Column:
     """Commutative multiset hash: ``fields`` are single values, ``sets`` arrays whose members are hashed one by one. 45 bits of each
-    hash are added up, so that 2**18 members cannot overflow a long; two seeds give 90 bits."""
+    hash are added up modulo 2**45, so any number of members fits a long; two seeds give 90 bits."""
     one = [F.pmod(_pair_hash(k, v, seed), F.lit(1 << 45)) for k, v in fields.items()]
     many = [_set_hash(k, v, seed) for k, v in sets.items()]
-    return reduce(add, one + many)
+    return F.pmod(reduce(add, one + many), F.lit(1 << 45))
+
+
+def _join_groups(rows: DataFrame, groups: DataFrame, key: list[str], n_hot: int) -> DataFrame:
+    """rows joined with one row per group (with its size ``_n_group``); hot groups stay where they are instead of meeting in one task."""
+    if not n_hot:
+        return rows.join(groups.drop("_n_group"), key)
+    hot, rest = F.broadcast(groups.where(F.col("_n_group") > HOT_ROWS).drop("_n_group")), groups.where(F.col("_n_group") <= HOT_ROWS).drop("_n_group")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(rest, key))
 
 
 def copy_groups(records: DataFrame, rid: str, sentence: str, columns: str) -> DataFrame:
@@ -48,11 +61,14 @@ def copy_groups(records: DataFrame, rid: str, sentence: str, columns: str) -> Da
     )
     norm = cut(base.select("*", *(fingerprint({"sentence": F.col("sentence")}, {"column_name": F.col("names")}, s).alias(f"f{s}") for s in (1, 2))))
     # the fingerprints that at least two records share
-    shared = norm.groupBy("f1", "f2").agg(F.min("record_id").alias("keep_id"), F.max("record_id").alias("_last")).where(F.col("keep_id") < F.col("_last")).drop("_last")
-    members = cut(norm.join(shared, ["f1", "f2"]))
+    shared = norm.groupBy("f1", "f2").agg(F.min("record_id").alias("keep_id"), F.max("record_id").alias("_last"), F.count("*").alias("_n_group"))
+    shared = cut(shared.where(F.col("keep_id") < F.col("_last")).drop("_last"))
+    n_hot = shared.where(F.col("_n_group") > HOT_ROWS).count()
+    members = cut(_join_groups(norm, shared, ["f1", "f2"], n_hot))
     first = members.where(F.col("record_id") == F.col("keep_id")).select("keep_id", F.col("sentence").alias("_s"), F.col("names").alias("_n")).dropDuplicates(["keep_id"])
+    first = first.join(shared.select("keep_id", "_n_group"), "keep_id")
     same = (F.col("sentence") == F.col("_s")) & (F.size("names") == F.size("_n")) & (F.size(F.array_except("names", "_n")) == 0)
-    checked = members.join(first, "keep_id").withColumn("_same", same)
+    checked = _join_groups(members, first, ["keep_id"], n_hot).withColumn("_same", same)
     good = checked.where("_same").select("keep_id", "record_id")
     rest = checked.where("not _same").select("record_id", "sentence", F.array_sort("names").alias("names"))
     again = rest.join(rest.groupBy("sentence", "names").agg(F.min("record_id").alias("keep_id")), ["sentence", "names"]).select("keep_id", "record_id")

@@ -38,3 +38,17 @@ def test_a_third_of_all_rows_is_one_group(spark):
 def test_long_texts(spark):
     rows = [(1, "1.1" * 60000, "a"), (2, "1.1" * 60000 + "!", "a"), (3, "word " * 100000, "x," * 50000), (4, "Word, " * 100000, "x"), (5, "." * 100000, None), (6, "…", "")]
     assert pairs(spark, rows) == {(1, 2), (3, 4), (5, 6)}
+
+
+def test_hot_groups_are_joined_apart(spark, monkeypatch):
+    from plumbline.llm import copies
+
+    rows = [(i, "same  text" if i % 3 == 0 else f"text {i % 40}", "c") for i in range(300)]
+    want = pairs(spark, rows)
+    monkeypatch.setattr(copies, "HOT_ROWS", 50)
+    assert pairs(spark, rows) == want and len(want) > 200
+
+
+def test_many_names_in_one_record(spark):
+    many = ",".join(f"c{i}" for i in range(300_000))
+    assert pairs(spark, [(1, "x y", many), (2, "X, y", many.upper())]) == {(1, 2)}
