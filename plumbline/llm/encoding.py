@@ -229,6 +229,47 @@ def encode(df: DataFrame, rid: str, text: str) -> DataFrame:
     return df.select(F.col(rid).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def vocabulary_of(merger: Merger) -> list[bytes]:
+    """The bytes of each id."""
+    out = [b""] * (max(merger.ranks.values(), default=-1) + 1)
+    for b, i in merger.ranks.items():
+        out[i] = b
+    return out
+
+
+def encode_with_offsets(df: DataFrame, rid: str, text: str) -> DataFrame:
+    """(doc_id, ids, starts) of every row of df; ``starts`` is the byte offset of each token in the UTF-8 text."""
+    raw = vocabulary_file(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = merger_of(raw)
+        width = np.array([len(b) for b in vocabulary_of(merger)], np.int64)
+        for b in batches:
+            done = 0
+            for n, texts in chunks(b.column(1)):
+                ids, offsets = encode_texts(texts, merger)
+                upto = np.concatenate(([0], np.cumsum(width[ids])))
+                starts = upto[:-1] - np.repeat(upto[offsets[:-1]], np.diff(offsets))
+                lists = (pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ids, starts))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, n), *lists], ["doc_id", "ids", "starts"])
+                done += n
+
+    return df.select(F.col(rid).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, starts array<int>")
+
+
+def decode_rows(df: DataFrame) -> DataFrame:
+    """df(doc_id, ids) -> (doc_id, text): the encoding undone."""
+    raw = vocabulary_file(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary_of(merger_of(raw))
+        for b in batches:
+            texts = [b"".join(map(words.__getitem__, ids or ())).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
 def token_counts(df: DataFrame, rid: str, text: str) -> DataFrame:
     """(doc_id, n_tokens) of every row of df."""
     raw = vocabulary_file(df.sparkSession)
@@ -254,5 +295,17 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_counts": p7_counts}
-ORACLE = {}
+def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of every document with the byte offset of each token."""
+    return encode_with_offsets(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per source, and those that the encoding gives back exactly (null as empty)."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("_text"))
+    back = decode_rows(encode(table(spark, d, "documents"), "doc_id", "text"))
+    return docs.join(back, "doc_id").groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if(F.col("text") == F.col("_text")).alias("n_equal"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_counts": p7_counts, "p7_offsets": p7_offsets, "p7_round_trip": p7_round_trip}
+ORACLE = {"p7_round_trip": "SELECT source, count(*) AS n_documents, count(*) AS n_equal FROM documents WHERE doc_id IS NOT NULL GROUP BY 1"}

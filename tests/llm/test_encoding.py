@@ -44,3 +44,16 @@ def test_rows(spark, merger):
     assert got == [("1", []), ("2", []), ("3", [31373, 995]), ("3", [31373, 995]), ("None", [87])]
     assert E.encode(df.where("false"), "doc_id", "text").count() == 0
     assert sorted(r.n_tokens for r in E.token_counts(df, "doc_id", "text").collect()) == [0, 0, 1, 2, 2]
+
+
+def test_offsets_and_round_trip(spark):
+    from plumbline.llm.encoding import decode_rows, encode_with_offsets, merger_of, vocabulary_file, vocabulary_of
+
+    texts = [None, "", "Some words, ünï 中文 🙂\n\n x", "a" * 5000, " ​ "]
+    got = encode_with_offsets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    words = vocabulary_of(merger_of(vocabulary_file(spark)))
+    for r in got:
+        data = (texts[r.doc_id] or "").encode()
+        assert [data[a : a + len(words[i])] for a, i in zip(r.starts, r.ids)] == [words[i] for i in r.ids] and len(r.starts) == len(r.ids)
+    back = decode_rows(spark.createDataFrame([(r.doc_id, r.ids) for r in got] + [(9, None)], "doc_id long, ids array<int>")).collect()
+    assert {r.doc_id: r.text for r in back} == {i: t or "" for i, t in enumerate(texts)} | {9: ""}
