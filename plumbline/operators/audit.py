@@ -47,15 +47,16 @@ def rotation(planned: DataFrame, worker: str) -> DataFrame:
 def run(planned: DataFrame, neighbours: DataFrame, findings: DataFrame, receipts: DataFrame, budget: int) -> DataFrame:
     """Replay of the budgeted, feedback-driven audit.
 
-    findings(subject, kind) are computed before, for all assets at once; the queue itself is a sequence and runs on the driver over names
+    findings(urn, kind), as ``self_check.attributed`` gives them, are computed before, for all assets at once; the queue itself is a sequence and runs on the driver over names
     of the plan, at most ``budget`` of which are examined. An asset with a current receipt is vouched for or refused and costs nothing; a
-    contagious finding moves the neighbours that were not seen to the front, the last of them first.
+    contagious finding moves the neighbours that were not seen to the front, the last of them first. An asset of which nothing is known
+    but that a check could not be made is ``unestablished``.
     """
     spark = planned.sparkSession
     order = [r["urn"] for r in planned.orderBy("position").select("urn").collect()]
     prior = {r["urn"]: r["verdict"] for r in receipts.select("urn", "verdict").collect()}
     bad: dict[str, set] = {}
-    for r in findings.select(F.regexp_extract("subject", r"^([^#]*)", 1).alias("urn"), "kind").distinct().collect():
+    for r in findings.select("urn", "kind").distinct().collect():
         bad.setdefault(r["urn"], set()).add(r["kind"])
     hot = [u for u in bad if bad[u] & set(CONTAGIOUS)]
     hot_df = spark.createDataFrame([(u,) for u in hot], "node string")
@@ -74,7 +75,9 @@ def run(planned: DataFrame, neighbours: DataFrame, findings: DataFrame, receipts
             rows.append((len(rows), u, "deferred", 0))
         else:
             spent += 1
-            rows.append((len(rows), u, "finding" if bad.get(u) else "clean", len(bad.get(u, ()))))
+            kinds = bad.get(u, set())
+            blind = kinds and all(k.endswith("_unverifiable") for k in kinds)
+            rows.append((len(rows), u, "unestablished" if blind else "finding" if kinds else "clean", len(kinds)))
             if bad.get(u, set()) & set(CONTAGIOUS):
                 queue.extendleft(x for x in sorted(near.get(u, [])) if x in known and x not in seen)
     return spark.createDataFrame(rows, "step int, urn string, outcome string, n_kinds int")
@@ -84,6 +87,11 @@ def summary(transcript: DataFrame) -> DataFrame:
     return transcript.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("n_kinds").alias("n_kinds"))
 
 
+def run_receipts(transcript: DataFrame) -> DataFrame:
+    """(urn, verdict) of the assets that a run established: what was deferred, vouched for or could not be checked gets no receipt."""
+    return transcript.where("outcome in ('finding', 'clean')").select("urn", F.when(F.col("outcome") == "finding", "WARN").otherwise("PASS").alias("verdict"))
+
+
 def swarm(planned: DataFrame, neighbours: DataFrame, findings: DataFrame, workers: list[str], budget: int) -> DataFrame:
     """Workers one after the other, each from its own place in the plan, each seeing the receipts of those before it: (worker, step, urn, outcome, n_kinds)."""
     spark = planned.sparkSession
@@ -93,6 +101,5 @@ def swarm(planned: DataFrame, neighbours: DataFrame, findings: DataFrame, worker
         turn = rotation(planned, w).select("urn", (F.col("turn") + 1).alias("position"))
         got = run(turn, neighbours, findings, done, budget).withColumn("worker", F.lit(w))
         out = got if out is None else out.unionByName(got)
-        fresh = got.where("outcome in ('finding', 'clean')").select("urn", F.when(F.col("outcome") == "finding", "WARN").otherwise("PASS").alias("verdict"))
-        done = done.unionByName(fresh)
+        done = done.unionByName(run_receipts(got))
     return out.select("worker", "step", "urn", "outcome", "n_kinds")

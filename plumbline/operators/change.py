@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.names import is_pii_tag, type_token
 from plumbline.functions.text import loose_references
 from plumbline.operators.graph import reach, shortest_paths
+from plumbline.operators.lineage import lineage_diff
 from plumbline.operators.snapshot import Snapshot
 from plumbline.schemas import evidence, union, unverifiable
 from plumbline.session import cut
@@ -74,9 +75,9 @@ def blast_paths(s: Snapshot, roots: DataFrame, depth: int = 3) -> DataFrame:
 
 
 def with_bi_hops(s: Snapshot, roots: DataFrame, depth: int = 3, hops: int = 2) -> DataFrame:
-    """(root, node, depth) downstream, and ``hops`` more from the charts and dashboards reached less than ``hops`` before the end, whose own consumers a bounded walk would miss."""
+    """(root, node, depth) downstream, and ``hops`` more from the charts, dashboards and explores reached less than ``hops`` before the end, whose own consumers a bounded walk would miss."""
     near = cut(reach(s.asset_edges, roots, depth))
-    rim = near.where(F.col("depth") > depth - hops).join(s.entity.where("kind in ('chart', 'dashboard')").select(F.col("urn").alias("node")), "node", "left_semi")
+    rim = near.where(F.col("depth") > depth - hops).join(s.entity.where("kind in ('chart', 'dashboard') or contains(urn, '.explore.')").select(F.col("urn").alias("node")), "node", "left_semi")
     more = reach(s.asset_edges, rim.select(F.col("node").alias("root")).distinct(), hops).select(F.col("root").alias("_via"), F.col("node").alias("_far"), F.col("depth").alias("_d"))
     far = rim.join(more, rim["node"] == more["_via"]).select("root", F.col("_far").alias("node"), (F.col("depth") + F.col("_d")).alias("depth"))
     return near.unionByName(far).where("root <> node").groupBy("root", "node").agg(F.min("depth").alias("depth"))
@@ -93,6 +94,34 @@ def unowned_asset(s: Snapshot, urns: DataFrame) -> DataFrame:
 
 
 def doc_rot(docs: DataFrame) -> DataFrame:
-    """docs(urn, description, fields, added, removed): documented columns that the schema lacks after the change."""
-    d = docs.withColumn("_after", schema_after(F.col("fields"), F.col("added"), F.col("removed"))).withColumn("_stale", F.array_intersect(loose_references(F.col("description")), F.col("removed")))
-    return evidence(d.where(F.size("_stale") > 0), "doc_rot", F.col("urn"), columns=F.col("_stale"))
+    """docs(urn, description, fields, added, removed): every name in a description that the schema lacks after the change."""
+    after = schema_after(F.col("fields"), F.col("added"), F.col("removed"))
+    lost = docs.select("urn", F.explode(F.array_except(loose_references(F.col("description")), after)).alias("mentioned")).distinct()
+    return evidence(lost, "doc_rot", F.col("urn"), mentioned_field=F.col("mentioned"))
+
+
+def blast_evidence(s: Snapshot, roots: DataFrame, depth: int = 3) -> DataFrame:
+    """The blast radius as evidence for the rules: how many assets are downstream (charts' consumers too), how many of them are critical,
+    could not be read or carry personal data, and how many other teams own some."""
+    hit = with_bi_hops(s, roots, depth).join(s.entity.select(F.col("urn").alias("node"), "kind", "owner"), "node", "left")
+    tags = s.field.groupBy(F.col("urn").alias("node")).agg(F.bool_or(F.exists("tags", is_pii_tag)).alias("_pii"), F.bool_or(F.exists("tags", lambda t: F.lower(t).contains("critical"))).alias("_critical"))
+    j = hit.join(tags, "node", "left").join(s.entity.select(F.col("urn").alias("root"), F.col("owner").alias("_own")), "root", "left")
+    foreign = F.when(F.col("_own").isNotNull() & (F.col("owner") != F.col("_own")), F.col("owner"))
+    per = j.groupBy("root").agg(
+        F.count("*").alias("n"), F.count_if(F.col("kind").isin("chart", "dashboard")).alias("boards"), F.count_if(F.coalesce("_critical", F.lit(False))).alias("critical"), F.count_if(F.coalesce("_pii", F.lit(False))).alias("pii"),
+        F.count_if(F.col("kind").isNull()).alias("blind"), F.count_distinct(foreign).alias("teams"),
+    )
+    per = roots.select("root").distinct().join(per, "root", "left").fillna(0)
+    return evidence(per, "blast_radius", F.col("root"), count=F.col("n"), dashboards=F.col("boards"), critical_assets=F.col("critical"), pii_assets=F.col("pii"), unreadable_assets=F.col("blind"), cross_team_owners=F.col("teams"), depth=F.lit(depth))
+
+
+def lineage_rot(s: Snapshot, computed: DataFrame, urns: DataFrame) -> DataFrame:
+    """Stored against computed column edges into the given assets; stored edges that were not read make an asset unverifiable."""
+    want = urns.select(F.col("urn").alias("dst")).distinct()
+    known = want if s.resolved is None else want.join(s.resolved.withColumnRenamed("urn", "dst"), "dst", "left_semi")
+    mine = lambda e: e.where("src_field is not null and dst_field is not null").join(known, "dst", "left_semi")
+    diff = lineage_diff(mine(s.edge), mine(computed))
+    found = evidence(diff, F.col("kind"), F.concat_ws("#", "dst", "dst_field"), src=F.concat_ws("#", "src", "src_field"))
+    if s.resolved is None:
+        return found
+    return union(found, unverifiable(want.join(known, "dst", "left_anti"), "lineage_rot", F.col("dst"), "the column lineage was not read"))

@@ -18,7 +18,7 @@ def normalize(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     for relation, name, kind, columns, text, partial in rows:
         cols = ",".join(sorted(c.strip().lower() for c in columns))
         s = predicates.shape(kind, text or "")
-        opaque = kind.lower() == "check" and predicates.parse(text or "") is None
+        opaque = kind.lower() == "opaque" or (kind.lower() == "check" and predicates.parse(text or "") is None)
         out.append((relation, name, kind, cols, text, bool(partial), predicates.fingerprint(kind, text or cols), s, opaque))
     return spark.createDataFrame(out, NORMAL)
 

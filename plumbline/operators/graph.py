@@ -5,6 +5,8 @@ The cost is edges times rounds whatever the number of paths, cycles end by thems
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,11 @@ from pyspark.sql.window import Window
 from plumbline.operators.ranking import global_position
 from plumbline.session import cut
 
+#: Rounds after which what was seen is brought together in one table.
+FOLD = 6
+#: Edges up to which the layer of one root, which has no more rows, is ranked in one task.
+LAYER_ROWS = 2_000_000
+
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """edges(src, dst), seeds(root) -> (root, node, depth): all nodes downstream of each root with their least depth, the root itself left out.
@@ -23,17 +30,20 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataF
     numbered = global_position(seeds.select("root").where("root is not null").distinct(), F.col("root"), name="n")
     roots = cut(numbered.select("root", F.floor((F.col("n") - 1) / 64).cast("int").alias("block"), ((F.col("n") - 1) % 64).cast("int").alias("bit")))
     layers = [cut(roots.groupBy("block", F.col("root").alias("node")).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))]
+    done, recent = None, [layers[0]]  # what was seen: up to the last fold, and the layers since then
     while depth is None or len(layers) <= depth:
         step = layers[-1].join(edges, layers[-1]["node"] == edges["src"]).groupBy("block", F.col("dst").alias("node")).agg(F.bit_or("mask").alias("mask"))
-        seen = layers[0]
-        for x in layers[1:]:
-            seen = seen.unionByName(x)
+        seen = reduce(DataFrame.unionByName, recent if done is None else [done, *recent])
         seen = seen.groupBy("block", "node").agg(F.bit_or("mask").alias("_seen"))
         fresh = step.join(seen, ["block", "node"], "left").select("block", "node", F.expr("mask & ~coalesce(_seen, 0L)").alias("mask")).where("mask <> 0")
         layers.append(cut(fresh))
         if layers[-1].isEmpty():
             layers.pop()
             break
+        recent.append(layers[-1])
+        if len(recent) == FOLD:
+            folded = reduce(DataFrame.unionByName, recent if done is None else [done, *recent])
+            done, recent = cut(folded.groupBy("block", "node").agg(F.bit_or("mask").alias("mask"))), []
     out = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).where("false")
     for level, x in enumerate(layers[1:], 1):
         bits = x.select("block", "node", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftrightunsigned(mask, b) & 1L) = 1)")).alias("bit"))
@@ -49,17 +59,23 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int | None = None,
     themselves are put together at the end, layer by layer backwards, for the targets only.
     """
     edges = cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())  # read once per round
-    layers = [cut(seeds.select("root", F.col("root").alias("node"), F.lit(1).alias("rank"), F.lit(0).alias("before")).distinct())]
-    total = layers[0]
+    layers = [cut(seeds.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("before")).distinct())]
+    total, large = layers[0], edges.count() > LAYER_ROWS
     while depth is None or len(layers) <= depth:
         x = layers[-1]
         step = x.join(edges, x["node"] == edges["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.min("rank").alias("before"))
-        rank = F.row_number().over(Window.partitionBy("root").orderBy("before", "node"))
-        fresh = cut(step.join(total, ["root", "node"], "left_anti").withColumn("rank", rank).select("root", "node", "rank", "before"))
+        new = step.join(total.select("root", "node"), ["root", "node"], "left_anti")
+        if large:  # ranks only have to grow with (before, node) within a root: the numbers of sorted ranges do, and no root's layer is one task
+            new, rank = new.repartitionByRange("root", "before", "node").sortWithinPartitions("root", "before", "node"), F.monotonically_increasing_id()
+        else:
+            rank = F.row_number().over(Window.partitionBy("root").orderBy("before", "node")).cast("long")
+        fresh = cut(new.select("root", "node", rank.alias("rank"), "before"))
         if fresh.isEmpty():
             break
         layers.append(fresh)
         total = total.unionByName(fresh)
+        if len(layers) % FOLD == 0:
+            total = cut(total)
     wanted = None if targets is None else targets.select("node").distinct()
     back = None
     for level in range(len(layers) - 1, -1, -1):

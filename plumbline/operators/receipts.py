@@ -74,9 +74,11 @@ def swarm_ledger(log: DataFrame, run: str) -> DataFrame:
 
 
 def classification(constraints: DataFrame, log: DataFrame, now: Column, max_age_s: int) -> DataFrame:
-    """constraints(urn) -> verified, rejected or unverified with the reason."""
+    """constraints(urn) -> verified, rejected or unverified with the reason. A receipt is tampered with if its verdict is none, or if the log
+    was checked (``check_signatures``) and the row is not intact; only the last receipt of an asset counts."""
     j = status(constraints, log).withColumn("_age", F.unix_timestamp(now) - F.unix_timestamp("checked_at"))
-    why = F.when(F.col("verdict").isNull(), "never").when(~F.col("verdict").isin(*VERDICTS), "tampered").when(F.col("_age") > max_age_s, "expired")
+    forged = ~F.coalesce("intact", F.lit(True)) if "intact" in j.columns else F.lit(False)
+    why = F.when(F.col("verdict").isNull(), "never").when(~F.col("verdict").isin(*VERDICTS) | forged, "tampered").when(F.col("_age") > max_age_s, "expired")
     cls = F.when(why.isNotNull(), "unverified").when(F.col("verdict") == "BLOCK", "rejected").otherwise("verified")
     return j.select("urn", cls.alias("class"), why.alias("reason"))
 

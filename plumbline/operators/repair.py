@@ -52,6 +52,24 @@ def prove(before: DataFrame, after: DataFrame, targets: DataFrame) -> DataFrame:
     return state.unionByName(a.exceptAll(b).withColumn("outcome", F.lit("collateral")))
 
 
+def prove_each(s: Snapshot, tags: DataFrame) -> DataFrame:
+    """tags(urn, path, tag) -> the same with outcome and collateral: each proposal judged for itself, all in one simulation.
+
+    A tag changes what its own field receives and what it passes on, so a finding that the simulation adds is laid to the proposal on
+    the field that it comes from. Outcomes: proven; collateral (it brings findings about); unresolved; refused for all where a check of
+    the catalog as it is could not be made.
+    """
+    before, after = sc.pii_leak_untagged(s).select("kind", "subject", "detail"), sc.pii_leak_untagged(with_tags(s, tags)).select("kind", "subject", "detail")
+    field = F.concat_ws("#", "urn", "path")
+    added = after.join(before.select("kind", "subject").distinct(), ["kind", "subject"], "left_anti").groupBy(F.get_json_object("detail", "$.source").alias("_f")).agg(F.count_distinct("subject").alias("collateral"))
+    left = after.select(F.col("subject").alias("_f"), F.lit(True).alias("_left")).distinct()
+    p = tags.withColumn("_f", field).join(added, "_f", "left").join(left, "_f", "left").fillna(0, ["collateral"])
+    if not sc.run_all(s).where(F.col("kind").endswith("_unverifiable")).isEmpty():
+        return p.select("urn", "path", "tag", F.lit("refused").alias("outcome"), F.lit(0).cast("long").alias("collateral"))
+    outcome = F.when(F.col("_left"), "unresolved").when(F.col("collateral") > 0, "collateral").otherwise("proven")
+    return p.select("urn", "path", "tag", outcome.alias("outcome"), "collateral")
+
+
 def unfixed(findings: DataFrame, proof: DataFrame) -> DataFrame:
     return findings.select("kind", "subject").distinct().join(proof.where("outcome = 'resolved'"), ["kind", "subject"], "left_anti")
 

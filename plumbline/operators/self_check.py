@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.names import is_pii_tag, is_protection_tag, leaf
 from plumbline.functions.text import strict_references
-from plumbline.operators.graph import shortest_paths
+from plumbline.operators.graph import closure, shortest_paths
 from plumbline.operators.snapshot import Snapshot
 from plumbline.schemas import EVIDENCE, evidence, union, unverifiable
+from plumbline.session import cut
 
+#: A graph of more edges is pruned before it is walked from many roots; in a smaller one that costs more than it saves.
+PRUNE_EDGES = 1_000_000
 BI_KINDS = ("chart", "dashboard")
 
 
@@ -59,20 +62,28 @@ def unowned_consumed(s: Snapshot) -> DataFrame:
     return evidence(used, "unowned_consumed", F.col("src"), consumers=F.col("n"))
 
 
-def deprecated_upstream_of_live(s: Snapshot, depth: int | None = None) -> DataFrame:
-    """Live charts and dashboards downstream of a deprecated asset, with the least shortest path."""
+def deprecated_upstream_of_live(s: Snapshot) -> DataFrame:
+    """Deprecated assets that live charts and dashboards rest on, a row per pair, with the least shortest path; however far apart they are.
+    In a large graph only edges that lead to a live chart or dashboard are walked, found by one walk backwards from all of them."""
     known = s.entity.select("urn")
     e = s.asset_edges.join(known.withColumnRenamed("urn", "src"), "src", "left_semi").join(known.withColumnRenamed("urn", "dst"), "dst", "left_semi")
     live = s.entity.where(F.col("live") & F.col("kind").isin(*BI_KINDS)).select(F.col("urn").alias("node"))
-    paths = shortest_paths(e, s.entity.where("deprecated").select(F.col("urn").alias("root")), depth, live)
-    return evidence(paths, "deprecated_upstream_of_live", F.col("node"), source=F.col("root"), path=F.col("path"))
+    e, roots = cut(e), s.entity.where("deprecated").select(F.col("urn").alias("root"))
+    if e.count() > PRUNE_EDGES:
+        above = closure(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), live)
+        e, roots = e.join(above.withColumnRenamed("node", "dst"), "dst", "left_semi"), roots.join(above.withColumnRenamed("node", "root"), "root", "left_semi")
+    paths = shortest_paths(e, roots, None, live)
+    return evidence(paths, "deprecated_upstream_of_live", F.col("root"), live_consumer=F.col("node"), path=F.col("path"))
 
 
 def doc_references_missing_column(s: Snapshot) -> DataFrame:
-    """Columns that a field's description names, and the schema of the asset lacks."""
+    """Columns that a field's description names, and the schema of the asset lacks; without a schema nothing can be said."""
     said = s.field.where(F.col("description").isNotNull()).select("urn", "path", F.explode(strict_references(F.col("description"))).alias("mentioned"))
-    lost = said.join(s.field.select("urn", F.col("path").alias("mentioned")), ["urn", "mentioned"], "left_anti")
-    return evidence(lost, "doc_references_missing_column", F.concat_ws("#", "urn", "path"), mentioned=F.col("mentioned"))
+    read = s.entity.select("urn", "schema_ok")
+    said = said.join(read, "urn", "left").withColumn("schema_ok", F.coalesce("schema_ok", F.lit(True)))
+    lost = said.where("schema_ok").join(s.field.select("urn", F.col("path").alias("mentioned")), ["urn", "mentioned"], "left_anti")
+    blind = unverifiable(said.where("not schema_ok"), "doc_references_missing_column", F.col("urn"), "the schema of the asset is not available")
+    return union(evidence(lost, "doc_references_missing_column", F.concat_ws("#", "urn", "path"), mentioned=F.col("mentioned")), blind)
 
 
 CHECKS = {f.__name__: f for f in (orphan_lineage, lineage_field_missing, pii_leak_untagged, unowned_consumed, deprecated_upstream_of_live, doc_references_missing_column)}
@@ -86,6 +97,18 @@ def unresolved_lineage(s: Snapshot) -> DataFrame:
     return unverifiable(rest, "lineage_field_missing", F.col("urn"), "the column lineage was not read")
 
 
+def attributed(s: Snapshot, found: DataFrame) -> DataFrame:
+    """Evidence -> (urn, kind): the assets that it concerns. An edge to nowhere is laid to its other end, which states it; what could not
+    be checked of the catalog as a whole concerns every asset."""
+    urn = F.regexp_extract("subject", r"^([^#]*)", 1)
+    ends = F.filter(F.array(F.get_json_object("detail", "$.src"), F.get_json_object("detail", "$.dst")), lambda x: x.isNotNull() & (x != F.col("subject")))
+    own = F.when(F.col("kind") == "orphan_lineage", ends).otherwise(F.array(urn))
+    per = found.select(F.explode(own).alias("urn"), "kind").distinct()
+    if s.entities_complete:
+        return per
+    return per.unionByName(s.entity.select("urn", F.lit("orphan_lineage_unverifiable").alias("kind"))).distinct()
+
+
 def run_all(s: Snapshot) -> DataFrame:
     """The evidence of all six checks."""
     s = s.settled()

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.names import is_negated_tag, is_pii_tag, is_protection_tag, leaf, schema_and_table, type_token, urn_platform, urn_relation
+from plumbline.functions.names import PROTECTION, is_negated_tag, is_pii_tag, is_protection_tag, leaf, schema_and_table, type_token, urn_platform, urn_relation
 from plumbline.functions.text import loose_references, meaningful, strict_references
 from plumbline.operators import graph
 from plumbline.operators import self_check as sc
-from plumbline.operators.snapshot import bounded, counts, expand_lineage, load
+from plumbline.operators.snapshot import Snapshot, bounded, counts, expand_lineage, load
 from plumbline.queries.derived import derived_snapshot
 from plumbline.queries.sqltext import CATALOG, DERIVED
 from plumbline.session import table
@@ -55,23 +55,35 @@ def unowned_consumed_orders(spark: SparkSession, d: str) -> DataFrame:
     return e.select("subject", F.get_json_object("detail", "$.consumers").cast("long").alias("consumers"))
 
 
+def _pairs_above(e: DataFrame, hops: bool) -> DataFrame:
+    path = F.from_json(F.get_json_object("detail", "$.path"), "array<string>")
+    pair = (F.col("subject").alias("source"), F.get_json_object("detail", "$.live_consumer").alias("consumer"))
+    return e.select(*pair, F.size(path).alias("hops") if hops else F.array_join(path, ">").alias("path"))
+
+
 def deprecated_upstream_of_live(spark: SparkSession, d: str) -> DataFrame:
-    e = sc.deprecated_upstream_of_live(derived_snapshot(spark, d), 3)
-    path = F.array_join(F.from_json(F.get_json_object("detail", "$.path"), "array<string>"), ">")
-    return e.select(F.get_json_object("detail", "$.source").alias("source"), "subject", path.alias("path"))
+    return _pairs_above(sc.deprecated_upstream_of_live(derived_snapshot(spark, d)), False)
 
 
 def deprecated_upstream_catalog(spark: SparkSession, d: str) -> DataFrame:
-    e = sc.deprecated_upstream_of_live(load(spark, d))
-    return e.select(F.get_json_object("detail", "$.source").alias("source"), "subject", F.size(F.from_json(F.get_json_object("detail", "$.path"), "array<string>")).alias("hops"))
+    return _pairs_above(sc.deprecated_upstream_of_live(load(spark, d)), True)
+
+
+def documented_snapshot(spark: SparkSession, d: str) -> Snapshot:
+    """Claims as documentation of their tables: a field per claim, described by its sentence, beside the columns that claims are about."""
+    c = table(spark, d, "mine_claims_release").where("table_name is not null")
+    said = c.where("sentence is not null and record_id is not null").select(F.col("table_name").alias("urn"), F.concat(F.lit("record "), F.col("record_id").cast("string")).alias("path"), F.col("sentence").alias("description"))
+    known = c.where("column_name is not null").select(F.col("table_name").alias("urn"), F.col("column_name").alias("path")).distinct().withColumn("description", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    fields = said.unionByName(known).select("urn", "path", none.alias("native_type"), F.lit(True).alias("nullable"), F.array().cast("array<string>").alias("tags"), "description")
+    ent = c.select(F.col("table_name").alias("urn"), F.lit("dataset").alias("kind"), none.alias("owner"), F.lit(False).alias("deprecated"), F.lit(False).alias("live"), (F.length("table_name") % 7 != 0).alias("schema_ok")).distinct()
+    return Snapshot(ent, fields, spark.createDataFrame([], "src string, src_field string, dst string, dst_field string"))
 
 
 def doc_references_missing_column(spark: SparkSession, d: str) -> DataFrame:
-    """Claims as documentation of their tables: named columns that no claim of the table is about."""
-    c = table(spark, d, "mine_claims_release").where("sentence is not null and table_name is not null")
-    said = c.select("record_id", "table_name", F.explode(strict_references(F.col("sentence"))).alias("mentioned"))
-    known = c.where("column_name is not null").select("table_name", F.col("column_name").alias("mentioned")).distinct()
-    return said.join(known, ["table_name", "mentioned"], "left_anti").select("record_id", "mentioned").distinct()
+    """Named columns that no claim of the table is about; tables with a name of seven letters, or a multiple of it, have no schema."""
+    e = sc.doc_references_missing_column(documented_snapshot(spark, d))
+    return e.select("kind", "subject", F.get_json_object("detail", "$.mentioned").alias("mentioned"))
 
 
 def self_check_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +167,7 @@ _FUNCS = (
 )
 QUERIES = {f.__name__: f for f in _FUNCS}
 
-_PROT = "pii|gdpr|hipaa|phi|sensitive|confidential|restricted|personal|private|ccpa|pci"
+_PROT = "|".join(PROTECTION)
 
 
 def _compact(t: str) -> str:
@@ -191,6 +203,14 @@ _KNOWN = ", ke AS (SELECT ae.src, ae.dst FROM ae JOIN ent s ON s.urn = ae.src JO
 _PATHS = ", p AS (SELECT urn AS root, urn AS node, 0 AS depth, urn AS path FROM ent WHERE {where} UNION ALL SELECT p.root, ae.dst, p.depth + 1, concat(p.path, '>', ae.dst) FROM p JOIN ae ON ae.src = p.node WHERE p.depth < 3)"
 _SNAKE = r"[\p{L}\p{N}_]*\p{L}[\p{L}\p{N}_]*_[\p{L}\p{N}_]+"
 
+
+def _strict(c: str) -> str:
+    return rf"""regexp_extract_all({c}, '(?i)\b(?:column|field)\s+["''`]?({_SNAKE})', 1), regexp_extract_all({c}, '(?i)({_SNAKE})["''`]?\s+(?:column|field)\b', 1)"""
+
+
+#: The names that prose refers to, as a list.
+LOOSE = r"""list_distinct(list_concat(regexp_extract_all({c}, '[`"'']([^`"'']+)[`"'']', 1), regexp_extract_all({c}, '\b[a-z][a-z0-9]*_[a-z0-9_]+\b')))"""
+
 ORACLE = {
     "catalog_snapshot_counts": CATALOG + "SELECT concat('entity:', kind) AS what, count(*) AS n FROM ent GROUP BY 1 UNION ALL SELECT 'field', count(*) FROM fld UNION ALL SELECT 'edge', count(*) FROM edg UNION ALL SELECT 'asset_edge', count(*) FROM ae",
     "snapshot_bounded_budget": CATALOG
@@ -202,16 +222,23 @@ SELECT src, count(*) AS n_edges FROM edg WHERE (src_field IS NOT NULL OR dst_fie
     "pii_leak_untagged": CATALOG + f", {_TAGGED} SELECT concat(tu, '#', tp) AS subject, count(*) AS n_sources FROM (SELECT DISTINCT * FROM ({_LEAK})) GROUP BY 1",
     "unowned_consumed": CATALOG + _UNOWNED,
     "unowned_consumed_orders": DERIVED + _UNOWNED,
-    "deprecated_upstream_of_live": DERIVED + _PATHS.format(where="deprecated") + " SELECT p.root AS source, p.node AS subject, min(path) AS path FROM p JOIN ent ON ent.urn = p.node AND ent.live AND ent.kind IN ('chart', 'dashboard') WHERE p.depth > 0 GROUP BY 1, 2",
-    "deprecated_upstream_catalog": CATALOG + _KNOWN + _WALK3.format(edges="ke") + "SELECT w.root AS source, w.node AS subject, (min(w.depth) + 1)::INTEGER AS hops FROM w JOIN ent ON ent.urn = w.node AND ent.live AND ent.kind IN ('chart', 'dashboard') GROUP BY 1, 2 HAVING min(w.depth) > 0",
-    "doc_references_missing_column": rf"""WITH c AS (SELECT * FROM mine_claims_release WHERE sentence IS NOT NULL AND table_name IS NOT NULL),
-r AS (SELECT record_id, table_name, unnest(list_concat(regexp_extract_all(sentence, '(?i)\b(?:columns?|fields?)\s+["''`]?({_SNAKE})', 1), regexp_extract_all(sentence, '(?i)({_SNAKE})["''`]?\s+(?:column|field)\b', 1))) AS mentioned FROM c)
-SELECT DISTINCT record_id, mentioned FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.table_name = r.table_name AND c.column_name = r.mentioned)""",
+    "deprecated_upstream_of_live": DERIVED + _PATHS.format(where="deprecated") + " SELECT p.root AS source, p.node AS consumer, min(path) AS path FROM p JOIN ent ON ent.urn = p.node AND ent.live AND ent.kind IN ('chart', 'dashboard') WHERE p.depth > 0 GROUP BY 1, 2",
+    "deprecated_upstream_catalog": CATALOG
+    + _KNOWN
+    + """, w(root, node, depth) USING KEY (root, node) AS (SELECT urn, urn, 0 FROM ent WHERE deprecated UNION SELECT w.root, ke.dst, min(w.depth) + 1 FROM w JOIN ke ON ke.src = w.node WHERE NOT EXISTS (SELECT 1 FROM recurring.w r WHERE r.root = w.root AND r.node = ke.dst) GROUP BY 1, 2)
+SELECT w.root AS source, w.node AS consumer, (w.depth + 1)::INTEGER AS hops FROM w JOIN ent ON ent.urn = w.node AND ent.live AND ent.kind IN ('chart', 'dashboard') WHERE w.depth > 0""",
+    "doc_references_missing_column": rf"""WITH c AS (SELECT * FROM mine_claims_release WHERE table_name IS NOT NULL), fs AS (SELECT DISTINCT table_name AS urn, column_name AS path FROM c WHERE column_name IS NOT NULL UNION SELECT table_name, concat('record ', CAST(record_id AS VARCHAR)) FROM c WHERE sentence IS NOT NULL),
+r AS (SELECT table_name AS urn, concat(table_name, '#record ', CAST(record_id AS VARCHAR)) AS subject, unnest(list_concat({_strict("sentence")})) AS mentioned FROM c WHERE sentence IS NOT NULL AND record_id IS NOT NULL)
+SELECT DISTINCT CASE WHEN length(urn) % 7 <> 0 THEN 'doc_references_missing_column' ELSE 'doc_references_missing_column_unverifiable' END AS kind, CASE WHEN length(urn) % 7 <> 0 THEN subject ELSE urn END AS subject, CASE WHEN length(urn) % 7 <> 0 THEN mentioned END AS mentioned
+FROM r WHERE length(urn) % 7 = 0 OR NOT EXISTS (SELECT 1 FROM fs WHERE fs.urn = r.urn AND fs.path = r.mentioned)""",
     "self_check_summary": CATALOG
-    + f""", {_TAGGED} {_KNOWN} , w AS (SELECT urn AS root, urn AS node, 0 AS depth FROM ent WHERE deprecated UNION SELECT w.root, ke.dst, w.depth + 1 FROM w JOIN ke ON ke.src = w.node AND ke.src <> ke.dst WHERE w.depth < 8)
+    + f""", {_TAGGED} {_KNOWN} , w AS (SELECT urn AS root, urn AS node FROM ent WHERE deprecated UNION SELECT w.root, ke.dst FROM w JOIN ke ON ke.src = w.node),
+dr AS (SELECT urn, path, unnest(list_concat({_strict("description")})) AS mentioned FROM fld WHERE description IS NOT NULL)
 SELECT kind, count(DISTINCT subject) AS n_subjects FROM (
   SELECT 'orphan_lineage' AS kind, urn AS subject FROM ({_ORPHAN}) UNION ALL {_MISSING} UNION ALL SELECT 'pii_leak_untagged', concat(tu, '#', tp) FROM ({_LEAK}) UNION ALL SELECT 'unowned_consumed', subject FROM ({_UNOWNED})
-  UNION ALL SELECT 'deprecated_upstream_of_live', w.node FROM w JOIN ent ON ent.urn = w.node AND ent.live AND ent.kind IN ('chart', 'dashboard') WHERE w.depth > 0 AND w.node <> w.root) GROUP BY kind""",
+  UNION ALL SELECT 'deprecated_upstream_of_live', w.root FROM w JOIN ent ON ent.urn = w.node AND ent.live AND ent.kind IN ('chart', 'dashboard') WHERE w.node <> w.root
+  UNION ALL SELECT CASE WHEN coalesce(ent.schema_ok, true) THEN 'doc_references_missing_column' ELSE 'doc_references_missing_column_unverifiable' END, CASE WHEN coalesce(ent.schema_ok, true) THEN concat(dr.urn, '#', dr.path) ELSE dr.urn END
+    FROM dr LEFT JOIN ent ON ent.urn = dr.urn WHERE NOT coalesce(ent.schema_ok, true) OR NOT EXISTS (SELECT 1 FROM fld WHERE fld.urn = dr.urn AND fld.path = dr.mentioned)) GROUP BY kind""",
     "downstream_depth3": CATALOG + _WALK3.format(edges="ae") + "SELECT root, node, min(depth)::INTEGER AS depth FROM w GROUP BY 1, 2 HAVING min(depth) > 0",
     "descendants": DERIVED + _WALK3.format(edges="ae") + "SELECT root, count(DISTINCT node) AS n_descendants, max(depth)::INTEGER AS depth FROM w WHERE depth > 0 GROUP BY 1",
     "marker_closure": CATALOG
@@ -229,5 +256,5 @@ SELECT urn, platform, relation, CASE WHEN len(string_split(relation, '.')) >= 2
     "field_leaf": f"SELECT DISTINCT target_field, {_leaf('target_field')} AS leaf FROM cat_edge WHERE target_field IS NOT NULL",
     "schema_type_tokens": r"""SELECT native_type, concat(CASE regexp_extract(b, '^([^(]*)', 1) WHEN 'int' THEN 'integer' WHEN 'int4' THEN 'integer' WHEN 'int8' THEN 'bigint' WHEN 'varchar' THEN 'charactervarying' WHEN 'bool' THEN 'boolean' ELSE regexp_extract(b, '^([^(]*)', 1) END, regexp_extract(b, '(\(.*)$', 1)) AS token, count(*) AS n
 FROM (SELECT native_type, lower(regexp_replace(native_type, '\s+', '', 'g')) AS b FROM cat_field) GROUP BY 1, 2""",
-    "meaningful_docs": r"""SELECT source_kind, count(*) AS n, sum(len(list_distinct(list_concat(regexp_extract_all(sentence, '`([^`]+)`', 1), regexp_extract_all(sentence, '([A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+)', 1)))))::BIGINT AS n_references FROM mine_claims_release WHERE len(regexp_extract_all(sentence, '[\p{L}\p{N}_]+')) >= 4 GROUP BY 1""",
+    "meaningful_docs": rf"""SELECT source_kind, count(*) AS n, sum(len({LOOSE.format(c="sentence")}))::BIGINT AS n_references FROM mine_claims_release WHERE len(regexp_extract_all(sentence, '[\p{{L}}\p{{N}}_]+')) >= 4 GROUP BY 1""",
 }

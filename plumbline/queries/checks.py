@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline import api
 from plumbline.functions.names import urn_relation
 from plumbline.functions.text import claim_type, expresses, listed_values, parse_time
 from plumbline.operators import audit as au
@@ -17,7 +18,7 @@ from plumbline.operators import self_check as sc
 from plumbline.operators.graph import neighbours
 from plumbline.operators.lineage import lineage_diff, resolve_sources
 from plumbline.operators.snapshot import load, lookup
-from plumbline.queries.catalog import _LEAK, _MISSING, _TAGGED, _UNOWNED, _pii
+from plumbline.queries.catalog import _LEAK, _ORPHAN, _TAGGED, _UNOWNED, LOOSE, _pii
 from plumbline.queries.derived import derived_snapshot
 from plumbline.queries.sqltext import CATALOG, DERIVED, key
 from plumbline.session import cut, table
@@ -162,20 +163,48 @@ def field_delta(spark: SparkSession, d: str) -> DataFrame:
     return per.select("urn", F.array_join(added, ",").alias("added"), F.array_join(removed, ",").alias("removed"), F.array_join(ch.schema_after(F.col("before"), added, removed), ",").alias("after"))
 
 
+def _documented(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences as documentation of their table, whose columns are those that claims are about; columns with a name of 3, 6, 9 ... letters go."""
+    t = table(spark, d, "mine_claims_release").where("table_name is not null")
+    columns = t.where("column_name is not null").groupBy("table_name").agg(F.collect_set("column_name").alias("fields"))
+    none = F.array().cast("array<string>")
+    docs = t.where("sentence is not null and record_id is not null").join(columns, "table_name", "left").withColumn("fields", F.coalesce("fields", none))
+    return docs.select(F.col("record_id").cast("string").alias("urn"), F.col("sentence").alias("description"), "fields", none.alias("added"), F.filter("fields", lambda c: F.length(c) % 3 == 0).alias("removed"))
+
+
 def doc_rot(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences as documentation of their table whose first named column is removed."""
-    t = table(spark, d, "mine_claims_release").where("sentence is not null and table_name is not null")
-    from plumbline.functions.text import loose_references
+    return ch.doc_rot(_documented(spark, d)).select("subject", F.get_json_object("detail", "$.mentioned_field").alias("mentioned"))
+
+
+def _computed(e: DataFrame) -> DataFrame:
+    """What an analysis of the SQL might say: some stored edges not, and some the other way round."""
+    back = e.where(F.length("src") % 7 == 0).select(F.col("dst").alias("src"), F.col("dst_field").alias("src_field"), F.col("src").alias("dst"), F.col("src_field").alias("dst_field"))
+    return e.where((F.length("src") + F.length("dst")) % 5 != 0).unionByName(back)
 
-    refs = loose_references(F.col("sentence"))
-    docs = t.select(F.col("record_id").cast("string").alias("urn"), F.col("sentence").alias("description"), refs.alias("fields"), F.array().cast("array<string>").alias("added"), F.when(F.col("record_id") % 3 == 0, F.slice(refs, 1, 1)).otherwise(F.array()).alias("removed"))
-    return ch.doc_rot(docs).select("subject")
+
+def check_change(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of all gates for a change of the deprecated assets: how much of each kind, and over how many assets and fields."""
+    s = load(spark, d).settled()
+    refs = _refs(s).join(s.entity.where("deprecated").select("urn"), "urn", "left_semi")
+    e = api.change_evidence(s, refs, _changed(s), _documented(spark, d), _computed(s.edge))
+    return e.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("n_subjects"))
+
+
+def blast_evidence(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d)
+    e = ch.blast_evidence(s, s.entity.where("deprecated").select(F.col("urn").alias("root")))
+    return e.select("subject", *(F.get_json_object("detail", f"$.{k}").cast("long").alias(k) for k in ("count", "dashboards", "critical_assets", "pii_assets", "unreadable_assets", "cross_team_owners")))
+
+
+def attributed_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings per asset and kind; an edge to nowhere counts for the asset that states it."""
+    s = load(spark, d)
+    return sc.attributed(s, sc.orphan_lineage(s).unionByName(sc.unowned_consumed(s))).select("urn", "kind")
 
 
 def lineage_rot_diff(spark: SparkSession, d: str) -> DataFrame:
     e = cut(load(spark, d).edge.select("src", "src_field", "dst", "dst_field"))
-    computed = e.where((F.length("src") + F.length("dst")) % 5 != 0).unionByName(e.where(F.length("src") % 7 == 0).select(F.col("dst").alias("src"), F.col("dst_field").alias("src_field"), F.col("src").alias("dst"), F.col("src_field").alias("dst_field")))
-    return lineage_diff(e, computed)
+    return lineage_diff(e, _computed(e))
 
 
 def lineage_source_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -291,7 +320,7 @@ def signed_log(spark: SparkSession, d: str) -> DataFrame:
 
 def swarm_run(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d).settled()
-    return au.swarm(cut(au.plan(s)), cut(neighbours(s.asset_edges)), cut(sc.run_all(s)), ["a", "b", "c"], 20)
+    return au.swarm(cut(au.plan(s)), cut(neighbours(s.asset_edges)), cut(sc.attributed(s, sc.run_all(s))), ["a", "b", "c"], 20)
 
 
 def bi_hops(spark: SparkSession, d: str) -> DataFrame:
@@ -335,7 +364,7 @@ def audit_resume(spark: SparkSession, d: str) -> DataFrame:
 def audit_run(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d)
     prior = s.entity.where(F.length("urn") % 5 == 0).select("urn", F.when(F.length("urn") % 2 == 0, "PASS").otherwise("BLOCK").alias("verdict"))
-    return au.run(au.plan(s), neighbours(s.asset_edges), sc.run_all(s), prior, 50)
+    return au.run(au.plan(s), neighbours(s.asset_edges), sc.attributed(s, sc.run_all(s)), prior, 50)
 
 
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -376,7 +405,7 @@ def repair_unfixed(spark: SparkSession, d: str) -> DataFrame:
 
 _FUNCS = (
     claim_unique, claim_unique_sample, claim_not_null, claim_accepted_values, claim_expression, claim_relationships, claims_fused, claim_status_report, claim_phrases, attestation_summary, attestation_budget, claim_wording,
-    schema_gate, schema_type_mismatch, reality_diff, blast_radius, blast_paths, deprecated_upstream, unowned_asset, field_delta, doc_rot, lineage_rot_diff, lineage_source_resolve,
+    schema_gate, schema_type_mismatch, reality_diff, blast_radius, blast_evidence, blast_paths, check_change, attributed_findings, deprecated_upstream, unowned_asset, field_delta, doc_rot, lineage_rot_diff, lineage_source_resolve,
     policy_findings, policy_rule_match, policy_verdict, verdict_combine, policy_ops_matrix, latest_receipt, receipt_status, receipt_staleness, receipt_judgment, swarm_ledger, search_classification, context_hash, receipt_badges, signed_log, swarm_run, bi_hops, asset_lookup, time_parse,
     audit_plan, audit_budget, audit_resume, audit_run, audit_summary, swarm_rotation, repair_owner, repair_owner_catalog, repair_tags, repair_prove, repair_unfixed,
 )
@@ -416,6 +445,7 @@ lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY urn ORDER BY che
 st AS (SELECT *, CASE WHEN policy_hash <> '1' THEN 'policy_changed' WHEN TIMESTAMP '2024-01-10' > checked_at THEN 'schema_changed' WHEN floor(epoch(TIMESTAMP '2024-01-30')) - floor(epoch(checked_at)) > 1296000 THEN 'too_old'
   WHEN context_hash IS NULL THEN 'no_context' WHEN event_id % 5 = 0 THEN 'context_unknown' WHEN context_hash <> '1' THEN 'context_changed' END AS reason FROM lg)
 """
+_ASKED = "SELECT CAST(c_custkey AS VARCHAR) AS urn FROM customer WHERE c_custkey IS NOT NULL UNION SELECT urn FROM lg WHERE urn IS NOT NULL"
 _PLAN = f""", sco AS (SELECT ent.urn, (10 * coalesce(n.n, 0) + CASE WHEN pi.urn IS NOT NULL THEN 50 ELSE 0 END + CASE WHEN owner IS NULL THEN 15 ELSE 0 END + CASE WHEN deprecated THEN 20 ELSE 0 END + CASE WHEN NOT schema_ok THEN 25 ELSE 0 END)::BIGINT AS score
   FROM ent LEFT JOIN (SELECT src, count(*) AS n FROM edg GROUP BY src) n ON n.src = ent.urn LEFT JOIN (SELECT DISTINCT urn FROM fld WHERE len(list_filter(tags, lambda x: {_pii("x")})) > 0) pi ON pi.urn = ent.urn WHERE ent.kind = 'dataset'),
 pl AS (SELECT urn, score, row_number() OVER (ORDER BY score DESC, urn) AS position FROM sco)"""
@@ -423,6 +453,20 @@ _OWNER = f", bad AS ({_UNOWNED}) SELECT bad.subject AS urn, min(s.owner) AS owne
 _LEAKS = f""", {_TAGGED}, lk AS (SELECT t.urn AS urn, t.path AS path, list_filter(s.tags, lambda x: {_pii("x")}) AS tags FROM edg JOIN tf s ON s.urn = edg.src AND s.path = edg.src_field JOIN tf t ON t.urn = edg.dst AND t.path = edg.dst_field
   WHERE len(list_filter(s.tags, lambda x: {_pii("x")})) > 0 AND NOT list_has_any(list_filter(s.tags, lambda x: {_pii("x")}), t.tags) AND ({_LEAK.rpartition("AND len")[2].join(("len", ""))})),
 fix AS (SELECT urn, path, min(tag) AS tag FROM (SELECT urn, path, unnest(tags) AS tag FROM lk) GROUP BY 1, 2 HAVING count(DISTINCT tag) = 1)"""
+_DOCUMENTED = f"""WITH dt AS (SELECT * FROM mine_claims_release WHERE table_name IS NOT NULL), dk AS (SELECT DISTINCT table_name, column_name FROM dt WHERE column_name IS NOT NULL AND length(column_name) % 3 <> 0),
+dm AS (SELECT CAST(record_id AS VARCHAR) AS subject, table_name, unnest({LOOSE.format(c="sentence")}) AS mentioned FROM dt WHERE sentence IS NOT NULL AND record_id IS NOT NULL),
+rot AS (SELECT subject, mentioned FROM dm WHERE NOT EXISTS (SELECT 1 FROM dk WHERE dk.table_name = dm.table_name AND dk.column_name = dm.mentioned))
+"""
+_BI = """, w3 AS (SELECT urn AS root, urn AS node, 0 AS depth FROM ent WHERE deprecated UNION SELECT w3.root, ae.dst, w3.depth + 1 FROM w3 JOIN ae ON ae.src = w3.node AND ae.src <> ae.dst WHERE w3.depth < 3),
+nr AS (SELECT root, node, min(depth) AS depth FROM w3 GROUP BY 1, 2 HAVING min(depth) > 0), rim AS (SELECT nr.* FROM nr JOIN ent b ON b.urn = nr.node AND (b.kind IN ('chart', 'dashboard') OR contains(b.urn, '.explore.')) WHERE nr.depth > 1),
+h1 AS (SELECT DISTINCT rim.root, ae.dst AS node, rim.depth + 1 AS depth FROM rim JOIN ae ON ae.src = rim.node AND ae.src <> ae.dst), h2 AS (SELECT DISTINCT h1.root, ae.dst AS node, h1.depth + 1 AS depth FROM h1 JOIN ae ON ae.src = h1.node AND ae.src <> ae.dst),
+bi AS (SELECT root, node, min(depth)::INTEGER AS depth FROM (SELECT * FROM nr UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) WHERE root <> node GROUP BY 1, 2)
+"""
+_BLAST = f""", tg AS (SELECT urn, bool_or(len(list_filter(tags, lambda x: {_pii("x")})) > 0) AS pii, bool_or(len(list_filter(tags, lambda x: contains(lower(x), 'critical'))) > 0) AS critical FROM fld GROUP BY 1),
+bl AS (SELECT o.urn AS root, count(bi.node) AS n, count(*) FILTER (WHERE n.kind IN ('chart', 'dashboard')) AS dashboards, count(*) FILTER (WHERE tg.critical) AS critical_assets, count(*) FILTER (WHERE tg.pii) AS pii_assets,
+  count(*) FILTER (WHERE bi.node IS NOT NULL AND n.urn IS NULL) AS unreadable_assets, count(DISTINCT CASE WHEN o.owner IS NOT NULL AND n.owner <> o.owner THEN n.owner END) AS cross_team_owners
+  FROM ent o LEFT JOIN bi ON bi.root = o.urn LEFT JOIN ent n ON n.urn = bi.node LEFT JOIN tg ON tg.urn = bi.node WHERE o.deprecated GROUP BY 1)
+"""
 
 ORACLE = {
     "claim_unique": "SELECT 'unique(l_orderkey,l_linenumber)' AS claim, coalesce(sum(n), 0)::BIGINT AS violations FROM (SELECT count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)",
@@ -451,7 +495,7 @@ FROM rf LEFT JOIN ent ON ent.urn = rf.urn WHERE ent.urn IS NULL OR NOT schema_ok
 x AS (SELECT urn, count(*) FILTER (WHERE f NOT IN (SELECT f FROM b WHERE b.urn = a.urn)) AS oc, count(*) AS nc FROM a GROUP BY urn), y AS (SELECT urn, count(*) FILTER (WHERE f NOT IN (SELECT f FROM a WHERE a.urn = b.urn)) AS ol, count(*) AS nl FROM b GROUP BY urn)
 SELECT CASE WHEN nc IS NULL OR nl IS NULL THEN 'graph_unavailable' ELSE 'catalog_reality_mismatch' END AS kind, ent.urn AS subject, (CASE WHEN nc IS NOT NULL AND nl IS NOT NULL THEN oc ELSE 0 END)::INTEGER AS n_catalog, (CASE WHEN nc IS NOT NULL AND nl IS NOT NULL THEN ol ELSE 0 END)::INTEGER AS n_live
 FROM ent LEFT JOIN x ON x.urn = ent.urn LEFT JOIN y ON y.urn = ent.urn WHERE ent.kind = 'dataset' AND (nc IS NULL OR nl IS NULL OR oc > 0 OR ol > 0)""",
-    "blast_radius": CATALOG + f""", w AS (SELECT urn AS root, urn AS node, 0 AS depth FROM ent WHERE deprecated UNION SELECT w.root, ae.dst, w.depth + 1 FROM w JOIN ae ON ae.src = w.node AND ae.src <> ae.dst WHERE w.depth < 2),
+    "blast_radius": CATALOG + f""", w AS (SELECT urn AS root, urn AS node, 0 AS depth FROM ent WHERE deprecated UNION SELECT w.root, ae.dst, w.depth + 1 FROM w JOIN ae ON ae.src = w.node AND ae.src <> ae.dst WHERE w.depth < 3),
 r AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2 HAVING min(depth) > 0)
 SELECT r.root, count(*) AS n_assets, count(*) FILTER (WHERE n.kind IN ('chart', 'dashboard')) AS n_dashboards, count(*) FILTER (WHERE n.kind IS NULL) AS n_unreadable, count(DISTINCT CASE WHEN o.owner IS NOT NULL AND n.owner <> o.owner THEN n.owner END) AS n_other_teams,
   count(*) FILTER (WHERE r.node IN (SELECT urn FROM fld WHERE len(list_filter(tags, lambda x: {_pii("x")})) > 0)) AS n_pii, max(r.depth)::INTEGER AS depth FROM r LEFT JOIN ent n ON n.urn = r.node LEFT JOIN ent o ON o.urn = r.root GROUP BY r.root""",
@@ -461,10 +505,28 @@ SELECT r.root, count(*) AS n_assets, count(*) FILTER (WHERE n.kind IN ('chart',
     "field_delta": CATALOG + """, g AS (SELECT urn, coalesce(list(DISTINCT path) FILTER (WHERE length(path) % 2 = 0), []) AS nw, coalesce(list(DISTINCT path) FILTER (WHERE length(path) % 3 = 0), []) AS bf FROM fld GROUP BY urn),
 h AS (SELECT urn, nw, bf, list_sort(list_filter(nw, lambda x: NOT list_contains(bf, x))) AS ad, list_sort(list_filter(bf, lambda x: NOT list_contains(nw, x))) AS rm FROM g)
 SELECT urn, array_to_string(ad, ',') AS added, array_to_string(rm, ',') AS removed, array_to_string(list_sort(list_filter(list_distinct(list_concat(bf, ad)), lambda x: NOT list_contains(rm, x))), ',') AS after FROM h""",
-    "doc_rot": "SELECT CAST(record_id AS VARCHAR) AS subject FROM mine_claims_release WHERE sentence IS NOT NULL AND table_name IS NOT NULL AND record_id % 3 = 0 AND (len(regexp_extract_all(sentence, '`([^`]+)`', 1)) > 0 OR len(regexp_extract_all(sentence, '([A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+)', 1)) > 0) GROUP BY record_id",
+    "doc_rot": _DOCUMENTED + "SELECT DISTINCT subject, mentioned FROM rot",
+    "blast_evidence": CATALOG + _BI + _BLAST + "SELECT root AS subject, n AS count, dashboards, critical_assets, pii_assets, unreadable_assets, cross_team_owners FROM bl",
+    "attributed_findings": CATALOG + f"SELECT DISTINCT CASE WHEN side = 'source' THEN dst ELSE src END AS urn, 'orphan_lineage' AS kind FROM ({_ORPHAN}) WHERE src <> dst UNION SELECT subject, 'unowned_consumed' FROM ({_UNOWNED})",
+    "check_change": CATALOG + _REFS + _CHANGED + _BI + ", " + _DOCUMENTED.removeprefix("WITH ") + f""", cr AS (SELECT rf.* FROM rf JOIN ent ON ent.urn = rf.urn AND ent.deprecated),
+cp AS (SELECT src, src_field, dst, dst_field FROM edg WHERE (length(src) + length(dst)) % 5 <> 0 UNION SELECT dst, dst_field, src, src_field FROM edg WHERE length(src) % 7 = 0),
+e1 AS (SELECT * FROM edg WHERE src_field IS NOT NULL AND dst_field IS NOT NULL AND dst IN (SELECT urn FROM cr)), e2 AS (SELECT * FROM cp WHERE src_field IS NOT NULL AND dst_field IS NOT NULL AND dst IN (SELECT urn FROM cr)),
+a AS (SELECT urn, {_FIELDTEXT} AS f FROM fld), b AS (SELECT urn, {_FIELDTEXT} AS f FROM lv),
+x AS (SELECT urn, count(*) FILTER (WHERE f NOT IN (SELECT f FROM b WHERE b.urn = a.urn)) AS oc, count(*) AS nc FROM a GROUP BY urn), y AS (SELECT urn, count(*) FILTER (WHERE f NOT IN (SELECT f FROM a WHERE a.urn = b.urn)) AS ol, count(*) AS nl FROM b GROUP BY urn),
+ev AS (
+  SELECT DISTINCT CASE WHEN NOT schema_ok THEN 'schema_unverifiable' ELSE 'unknown_field' END AS kind, CASE WHEN NOT schema_ok THEN cr.urn ELSE concat(cr.urn, '#', cr.path) END AS subject, '' AS more
+    FROM cr JOIN ent ON ent.urn = cr.urn WHERE NOT schema_ok OR NOT EXISTS (SELECT 1 FROM fld WHERE fld.urn = cr.urn AND fld.path = cr.path)
+  UNION ALL SELECT DISTINCT 'deprecated_upstream', urn, '' FROM cr
+  UNION ALL SELECT DISTINCT 'unowned_asset', cr.urn, '' FROM cr JOIN ent ON ent.urn = cr.urn AND ent.owner IS NULL
+  UNION ALL SELECT DISTINCT 'blast_radius', urn, '' FROM cr
+  UNION ALL SELECT CASE WHEN nc IS NULL OR nl IS NULL THEN 'graph_unavailable' ELSE 'catalog_reality_mismatch' END, c.urn, '' FROM (SELECT DISTINCT urn FROM cr) c LEFT JOIN x ON x.urn = c.urn LEFT JOIN y ON y.urn = c.urn WHERE nc IS NULL OR nl IS NULL OR oc > 0 OR ol > 0
+  UNION ALL SELECT DISTINCT 'doc_rot', subject, mentioned FROM rot
+  UNION ALL SELECT 'lineage_rot_missing', concat(dst, '#', dst_field), concat(src, '#', src_field) FROM (SELECT src, src_field, dst, dst_field FROM e1 EXCEPT SELECT * FROM e2)
+  UNION ALL SELECT 'lineage_rot_extra', concat(dst, '#', dst_field), concat(src, '#', src_field) FROM (SELECT * FROM e2 EXCEPT SELECT src, src_field, dst, dst_field FROM e1))
+SELECT kind, count(*) AS n, count(DISTINCT subject) AS n_subjects FROM ev GROUP BY 1""",
     "lineage_rot_diff": CATALOG + """, cp AS (SELECT src, src_field, dst, dst_field FROM edg WHERE (length(src) + length(dst)) % 5 <> 0 UNION SELECT dst, dst_field, src, src_field FROM edg WHERE length(src) % 7 = 0)
 SELECT 'lineage_rot_missing' AS kind, * FROM (SELECT src, src_field, dst, dst_field FROM edg EXCEPT SELECT * FROM cp) UNION ALL SELECT 'lineage_rot_extra', * FROM (SELECT * FROM cp EXCEPT SELECT src, src_field, dst, dst_field FROM edg)""",
-    "lineage_source_resolve": CATALOG + f""", re AS (SELECT urn, {_REL} AS relation FROM ent), sx AS (SELECT urn, unnest([array_to_string(string_split(lower(relation), '.')[-1:], '.'), array_to_string(string_split(lower(relation), '.')[-2:], '.'), array_to_string(string_split(lower(relation), '.')[-3:], '.')]) AS k FROM re WHERE relation IS NOT NULL),
+    "lineage_source_resolve": CATALOG + f""", re AS (SELECT urn, {_REL} AS relation FROM ent), sx AS (SELECT urn, unnest(list_transform(range(1, len(string_split(relation, '.')) + 1), lambda n: array_to_string(string_split(lower(relation), '.')[-n:], '.'))) AS k FROM re WHERE relation IS NOT NULL),
 nm AS (SELECT DISTINCT name FROM (SELECT table_name AS name FROM mine_claims_release UNION SELECT relation FROM re UNION SELECT string_split(relation, '.')[-1] FROM re) WHERE name IS NOT NULL)
 SELECT name, CASE WHEN count(DISTINCT urn) = 1 THEN min(urn) END AS urn, CASE count(DISTINCT urn) WHEN 1 THEN 'resolved' WHEN 0 THEN 'unknown' ELSE 'ambiguous' END AS status FROM nm LEFT JOIN sx ON sx.k = lower(nm.name) GROUP BY name""",
     "policy_findings": _EVIDENCE + "SELECT ord, rule_id, severity, reason_code, message FROM fi",
@@ -477,17 +539,16 @@ SELECT name, CASE WHEN count(DISTINCT urn) = 1 THEN min(urn) END AS urn, CASE co
                      ("detail.nothing ne", "false"), ("detail.nothing empty", "true"), ("detail.count not_empty", "true"), ("subject contains", "contains(subject, '7')"))
     ),
     "latest_receipt": _LOGSQL + "SELECT urn, verdict, event_id FROM lt",
-    "receipt_status": _LOGSQL + "SELECT CAST(c_custkey AS VARCHAR) AS urn, lt.verdict FROM customer LEFT JOIN lt ON lt.urn = CAST(c_custkey AS VARCHAR) WHERE c_custkey < 300",
+    "receipt_status": _LOGSQL + f"SELECT q.urn, lt.verdict FROM ({_ASKED}) q LEFT JOIN lt ON lt.urn = q.urn",
     "receipt_staleness": _LOGSQL + "SELECT coalesce(reason, 'current') AS reason, count(*) AS n FROM st GROUP BY 1",
     "receipt_judgment": _LOGSQL + """, jd AS (SELECT lt.urn, lt.verdict, CASE WHEN lt.verdict = 'UNKNOWN' THEN 'INVALID' WHEN st.reason IS NOT NULL AND lt.event_id % 2 = 0 THEN 'STALE' ELSE 'CURRENT' END AS state FROM lt JOIN st ON st.event_id = lt.event_id)
 SELECT urn, state, CASE WHEN state <> 'CURRENT' THEN 'RECHECK' WHEN verdict = 'BLOCK' THEN 'STOP' WHEN verdict = 'WARN' THEN 'REVIEW_OR_ESCALATE' ELSE 'CONTINUE' END AS action FROM jd""",
     "swarm_ledger": _LOGSQL + "SELECT coalesce(worker_id, 'unattributed') AS worker_id, count(*) AS n_receipts, count(DISTINCT urn) AS n_assets FROM lg WHERE swarm_run = 'run2' GROUP BY 1",
-    "search_classification": _LOGSQL + """, q AS (SELECT CAST(c_custkey AS VARCHAR) AS urn, lt.verdict, CASE WHEN lt.verdict IS NULL THEN 'never' WHEN lt.verdict = 'UNKNOWN' THEN 'tampered' WHEN floor(epoch(TIMESTAMP '2024-01-30')) - floor(epoch(lt.checked_at)) > 86400 THEN 'expired' END AS reason FROM customer LEFT JOIN lt ON lt.urn = CAST(c_custkey AS VARCHAR) WHERE c_custkey < 300)
+    "search_classification": _LOGSQL + f""", q AS (SELECT q.urn, lt.verdict, CASE WHEN lt.verdict IS NULL THEN 'never' WHEN lt.verdict = 'UNKNOWN' THEN 'tampered' WHEN floor(epoch(TIMESTAMP '2024-01-30')) - floor(epoch(lt.checked_at)) > 86400 THEN 'expired' END AS reason FROM ({_ASKED}) q LEFT JOIN lt ON lt.urn = q.urn)
 SELECT urn, CASE WHEN reason IS NOT NULL THEN 'unverified' WHEN verdict = 'BLOCK' THEN 'rejected' ELSE 'verified' END AS class, reason FROM q""",
     "receipt_badges": _LOGSQL + "SELECT CASE WHEN verdict IN ('PASS', 'WARN') THEN 'verified' WHEN verdict = 'BLOCK' THEN 'blocked' ELSE 'none' END AS badge, count(*) AS n FROM lt GROUP BY 1",
     "signed_log": "SELECT event_id % 7 <> 0 AS intact, count(*) AS n FROM events GROUP BY 1",
-    "bi_hops": CATALOG + """, n1 AS (SELECT DISTINCT ent.urn AS root, ae.dst AS node FROM ent JOIN ae ON ae.src = ent.urn AND ae.src <> ae.dst WHERE ent.deprecated), n2 AS (SELECT n1.root, ae.dst AS node FROM n1 JOIN ent b ON b.urn = n1.node AND b.kind IN ('chart', 'dashboard') JOIN ae ON ae.src = n1.node AND ae.src <> ae.dst)
-SELECT root, node, min(depth)::INTEGER AS depth FROM (SELECT root, node, 1 AS depth FROM n1 UNION ALL SELECT root, node, 2 FROM n2) WHERE root <> node GROUP BY 1, 2""",
+    "bi_hops": CATALOG + _BI + "SELECT root, node, depth FROM bi",
     "asset_lookup": CATALOG + f""", re AS (SELECT urn, kind, owner, lower({_REL}) AS rel FROM ent), kk AS (SELECT DISTINCT urn, kind, owner, unnest(list_concat([urn], CASE WHEN rel IS NULL THEN [] ELSE list_transform(range(1, len(string_split(rel, '.')) + 1), lambda n: array_to_string(string_split(rel, '.')[-n:], '.')) END)) AS k FROM re),
 nm AS (SELECT DISTINCT name FROM (SELECT target_urn AS name FROM cat_edge UNION SELECT string_split({_REL}, '.')[-1] FROM ent) WHERE name IS NOT NULL)
 SELECT nm.name, kk.urn, kk.kind, kk.owner, (SELECT count(*) FROM fld WHERE fld.urn = kk.urn) AS n_fields FROM nm JOIN kk ON kk.k = {key("nm.name")}""",

@@ -340,7 +340,7 @@ _SCORES = "[" + ", ".join(f"{_DOT.format(a='embedding', b='[' + ', '.join(map(st
 
 ORACLE = {
     "pair_dedupe": "SELECT min(record_id) AS record_id FROM mine_claims_release WHERE sentence IS NOT NULL GROUP BY sentence, column_name, claim_type",
-    "sentence_cap": f"""WITH c AS (SELECT record_id, record_class, claim_type, array_to_string(string_split(sentence, ' ')[1:3], ' ') AS s FROM mine_claims_release WHERE sentence IS NOT NULL), t AS (SELECT claim_type, count(*) AS n FROM c GROUP BY 1)
+    "sentence_cap": f"""WITH c AS (SELECT record_id, record_class, claim_type, sentence AS s FROM mine_claims_release WHERE sentence IS NOT NULL), t AS (SELECT claim_type, count(*) AS n FROM c GROUP BY 1)
 SELECT record_id, rn FROM (SELECT c.record_id, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN record_class = 'positive' THEN 0 ELSE 1 END, t.n, {_H.replace("record_id", "c.record_id")}) AS rn FROM c JOIN t ON t.claim_type IS NOT DISTINCT FROM c.claim_type) WHERE rn <= 3""",
     "hash_split": "SELECT ('0x' || substr(sha256(source_document), 1, 8))::BIGINT % 5 AS bucket, count(*) AS n, count(DISTINCT source_document) AS n_documents FROM mine_claims_release WHERE source_document IS NOT NULL GROUP BY 1",
     "split_overlap": "SELECT source_document FROM mine_claims_release WHERE split = 'train' AND source_document IS NOT NULL INTERSECT SELECT source_document FROM mine_claims_release WHERE split = 'test'",

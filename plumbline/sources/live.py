@@ -52,10 +52,10 @@ def from_ddl(spark: SparkSession, ddl: DataFrame) -> DataFrame:
     cols = lambda rx: F.transform(F.split(F.regexp_extract(bare, rx, 1), ","), lambda c: F.lower(F.regexp_replace(F.trim(c), '"', "")))
     named = lambda suffix: F.when(head != "", head).otherwise(F.concat("relation", F.lit("_"), F.col("pos").cast("string"), F.lit(suffix)))
     none = F.array().cast("array<string>")
-    of_table = it.where(bare.rlike(r"(?i)^(?:check|primary key|unique|foreign key)\b")).select(
+    of_table = it.where(bare.rlike(r"(?i)^(?:check|primary key|unique|foreign key|exclude)\b")).select(
         "relation", named("").alias("name"),
-        F.when(bare.rlike("(?i)^check"), "check").when(bare.rlike("(?i)^primary"), "primary_key").when(bare.rlike("(?i)^unique"), "unique").otherwise("foreign_key").alias("kind"),
-        F.when(bare.rlike("(?i)^check"), none).otherwise(cols(r"(?i)^(?:primary key|unique|foreign key)\s*\(([^)]*)\)")).alias("columns"), bare.alias("definition"), F.lit(False).alias("is_partial"),
+        F.when(bare.rlike("(?i)^check"), "check").when(bare.rlike("(?i)^primary"), "primary_key").when(bare.rlike("(?i)^unique"), "unique").when(bare.rlike("(?i)^exclude"), "opaque").otherwise("foreign_key").alias("kind"),
+        F.when(bare.rlike("(?i)^(?:check|exclude)"), none).otherwise(cols(r"(?i)^(?:primary key|unique|foreign key)\s*\(([^)]*)\)")).alias("columns"), bare.alias("definition"), F.lit(False).alias("is_partial"),
     )
     column = it.where(~bare.rlike(r"(?i)^(?:check|primary key|unique|foreign key|exclude)\b")).withColumn("col", F.lower(F.regexp_extract("item", r'^"?(\w+)"?', 1)))
     says = lambda rx, kind, text: F.when(F.col("item").rlike(rx), F.struct(F.lit(kind).alias("k"), text.alias("d")))

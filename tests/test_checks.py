@@ -24,7 +24,7 @@ def _pairs(df):
 
 def test_self_checks(snap):
     assert _pairs(sc.run_all(snap)) == [
-        ("deprecated_upstream_of_live", "d"), ("doc_references_missing_column", "a#id"), ("lineage_field_missing", "b#lost"), ("lineage_field_missing_unverifiable", "blind"), ("orphan_lineage", "ghost"),
+        ("deprecated_upstream_of_live", "b"), ("doc_references_missing_column", "a#id"), ("lineage_field_missing", "b#lost"), ("lineage_field_missing_unverifiable", "blind"), ("orphan_lineage", "ghost"),
         ("pii_leak_untagged", "b#ID"), ("pii_leak_untagged", "b#no"), ("unowned_consumed", "a"), ("unowned_consumed", "e"),
     ]
 
@@ -92,7 +92,7 @@ def test_audit_budget_and_repairs(spark, snap):
     plan = audit.plan(snap)
     assert [r.position for r in plan.orderBy("position").collect()] == [1, 2, 3, 4]
     got = api.audit(snap, 2)
-    assert got.where("outcome in ('finding', 'clean')").count() == 2 and got.count() == 4
+    assert got.where("outcome in ('finding', 'clean', 'unestablished')").count() == 2 and got.count() == 4
     tags = repair.propose_tags(snap)
     before, after = sc.pii_leak_untagged(snap), sc.pii_leak_untagged(repair.with_tags(snap, tags))
     proof = repair.prove(before, after, before)
@@ -108,3 +108,67 @@ def test_first_n_matches_a_plain_rank(spark):
     rows = [(r.g, r.h) for r in df.collect()]
     assert got == {x for g in range(3) for x in sorted(r for r in rows if r[0] == g)[:7]}
     assert corpus.class_quota({"a": 10, "b": 100}, {"a": 0.5, "b": 0.5}) == {"a": 10, "b": 10}
+
+
+def test_documentation_after_the_change(spark):
+    rows = [("t", "names `never_there`, 'quoted col', kept_col and gone_col, but not Upper_Case or xkept_colX", ["kept_col", "gone_col"], ["new_col"], ["gone_col"]), ("u", "new_col is there", [], ["new_col"], []), ("v", None, [], [], [])]
+    docs = spark.createDataFrame(rows, "urn string, description string, fields array<string>, added array<string>, removed array<string>")
+    assert {(r.subject, r.detail) for r in change.doc_rot(docs).collect()} == {("t", f'{{"mentioned_field":"{m}"}}') for m in ("never_there", "quoted col", "gone_col")}
+
+
+def test_all_gates_of_a_change(spark, snap):
+    refs = spark.createDataFrame([("b", "ID"), ("ghost", "x")], "urn string, path string")
+    computed = spark.createDataFrame([("a", "id", "b", "ID"), ("a", "id", "b", "other")], EDG)
+    docs = spark.createDataFrame([("b", "see lost_col", ["ID"], [], [])], "urn string, description string, fields array<string>, added array<string>, removed array<string>")
+    live = spark.createDataFrame([("b", "ID", "integer", True)], "urn string, path string, native_type string, nullable boolean")
+    e = api.change_evidence(snap, refs, live, docs, computed)
+    assert {r.kind for r in e.select("kind").distinct().collect()} == {"unknown_dataset", "deprecated_upstream", "blast_radius", "catalog_reality_mismatch", "doc_rot", "lineage_rot_missing", "lineage_rot_extra"}
+    found, _ = api.check(snap, refs, live=live, docs=docs, computed=computed)
+    assert {"partial_blast_radius", "doc_rot", "lineage_rot", "lineage_rot_extra"} - {r.rule_id for r in found.collect()} == {"partial_blast_radius"}
+    critical = Snapshot(snap.entity, spark.createDataFrame([("d", "x", "int", True, ["Business-Critical"], None)], FLD), snap.edge)
+    found, _ = api.check(critical, refs.where("urn = 'b'"))
+    assert "critical_downstream" in {r.rule_id for r in found.collect()}
+    from plumbline.operators.snapshot import bounded as bound
+
+    part = change.lineage_rot(bound(snap, 1), computed, spark.createDataFrame([("b",), ("a",)], "urn string"))
+    assert ("lineage_rot_unverifiable", "a") in _pairs(part)
+
+
+def test_dangling_edges_are_laid_to_who_states_them(spark):
+    ent = [(x, "dataset", "t", False, False, True) for x in ("a", "b", "c")] + [("w", "dataset", "t", False, False, False)]
+    s = Snapshot(spark.createDataFrame(ent, ENT), spark.createDataFrame([("b", "x", "int", True, [], None)], FLD), spark.createDataFrame([("a", None, "ghost", None), ("b", "x", "w", "y")], EDG))
+    assert {tuple(r) for r in sc.attributed(s, sc.run_all(s)).collect()} == {("a", "orphan_lineage"), ("w", "lineage_field_missing_unverifiable")}
+    got = {r.urn: r.outcome for r in api.audit(s, 10).collect()}
+    assert got == {"a": "finding", "b": "clean", "c": "clean", "w": "unestablished"}
+    assert {(r.urn, r.verdict) for r in audit.run_receipts(api.audit(s, 10)).collect()} == {("a", "WARN"), ("b", "PASS"), ("c", "PASS")}
+    live = spark.createDataFrame([(x, "x", "int", True) for x in "abc"], "urn string, path string, native_type string, nullable boolean")
+    urns = spark.createDataFrame([("a",), ("b",)], "urn string")
+    assert {r.urn: r.truthful for r in api.verify_context(s, live, urns).collect()} == {"a": False, "b": True}
+    bad = spark.createDataFrame([("b", "contradicts")], "relation string, state string")
+    assert not any(r.truthful for r in api.verify_context(s, live, urns, reconciled=bad).collect())
+
+
+def test_proposals_are_proven_one_by_one(spark):
+    ent = [(x, "dataset", "t", False, False, True) for x in "abcd"]
+    fld = [("a", "x", "int", True, ["pii"], None), ("b", "x", "int", True, [], None), ("c", "x", "int", True, [], None), ("d", "x", "int", True, [], None)]
+    edg = [("a", "x", "b", "x"), ("a", "x", "d", "x"), ("b", "x", "c", "x")]
+    s = Snapshot(spark.createDataFrame(ent, ENT), spark.createDataFrame(fld, FLD), spark.createDataFrame(edg, EDG))
+    got = {r.urn: (r.outcome, r.collateral) for r in repair.prove_each(s, repair.propose_tags(s)).collect()}
+    assert got == {"b": ("collateral", 1), "d": ("proven", 0)}
+    blind = Snapshot(s.entity.withColumn("schema_ok", s.entity.urn != "c"), s.field, s.edge)
+    assert {r.outcome for r in repair.prove_each(blind, repair.propose_tags(blind)).collect()} == {"refused"}
+
+
+def test_forged_receipts_and_excluded_constraints(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import constraints
+    from plumbline.sources import live
+
+    log = spark.createDataFrame([("a", "PASS", "2024-01-01 00:00:00", False), ("b", "PASS", "2024-01-01 00:00:00", True)], "urn string, verdict string, checked_at string, intact boolean").withColumn("checked_at", F.col("checked_at").cast("timestamp"))
+    got = receipts.classification(spark.createDataFrame([("a",), ("b",)], "urn string"), log, F.lit("2024-01-01 00:00:10").cast("timestamp"), 60)
+    assert {(r.urn, r["class"], r.reason) for r in got.collect()} == {("a", "unverified", "tampered"), ("b", "verified", None)}
+    ddl = spark.createDataFrame([("r", "CREATE TABLE r (a int, CONSTRAINT no_overlap EXCLUDE USING gist (a WITH =))")], "relation string, text string")
+    (row,) = live.from_ddl(spark, ddl).collect()
+    assert (row.name, row.kind) == ("no_overlap", "opaque")
+    assert constraints.normalize(spark, [(row.relation, row.name, row.kind, [], row.definition, False)]).first().opaque

@@ -42,3 +42,16 @@ def test_neighbours(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "a"), ("b", "a")], "src string, dst string")
     assert {tuple(r) for r in graph.neighbours(e).collect()} == {("a", "b"), ("b", "a")}
     assert graph.ego_net(e, spark.createDataFrame([("b",)], "node string")).count() == 2
+
+
+def test_large_graphs_take_another_way_to_the_same_paths(spark, monkeypatch):
+    r = random.Random(8)
+    edges = [(f"n{r.randrange(12)}", f"n{r.randrange(12)}") for _ in range(30)]
+    e, seeds = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("n0",), ("n1",)], "root string")
+    want = {(x.root, x.node): x.path for x in graph.shortest_paths(e, seeds).collect()}
+    monkeypatch.setattr(graph, "LAYER_ROWS", 0)
+    monkeypatch.setattr(graph, "FOLD", 2)
+    assert {(x.root, x.node): x.path for x in graph.shortest_paths(e, seeds).collect()} == want
+    chain = spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}") for i in range(9)], "src string, dst string")
+    got = {x.node: x.depth for x in graph.reach(chain, spark.createDataFrame([("c00",)], "root string")).collect()}
+    assert got == {f"c{i:02}": i for i in range(1, 10)}

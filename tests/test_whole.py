@@ -67,10 +67,10 @@ def test_bi_hops_go_two_hops_on(spark, tmp_path):
 
 def test_deprecated_upstream_has_no_last_hop(spark, tmp_path):
     urns = _chain(spark, tmp_path, ["dashboard" if i in (1, 4, 10) else "dataset" for i in range(1, 11)])
-    got = {(r.source, r.subject, r.hops) for r in catalog.deprecated_upstream_catalog(spark, str(tmp_path)).collect()}
+    got = {(r.source, r.consumer, r.hops) for r in catalog.deprecated_upstream_catalog(spark, str(tmp_path)).collect()}
     assert got == {(urns[0], urns[i], i + 1) for i in (1, 4, 10)}
     n = {r.kind: r.n_subjects for r in catalog.self_check_summary(spark, str(tmp_path)).collect()}
-    assert n["deprecated_upstream_of_live"] == 3
+    assert n["deprecated_upstream_of_live"] == 1
 
 
 def test_names_of_four_parts_resolve(spark):
