@@ -246,7 +246,7 @@ def p2_labels(spark: SparkSession, d: str) -> DataFrame:
     """Share of each label's records in each split, and how far it is from the target."""
     claims, _ = _sources(spark, d)
     flags = label_flags(record_labels(claims))
-    named = F.array(*(F.struct(F.lit(k).alias("label"), F.coalesce(x, F.lit(False)).alias("has")) for k, x in flags.items()))
+    named = F.array(*(F.struct(F.lit(k).alias("label"), F.coalesce(x, F.lit(False)).alias("has")) for k, x in flags.items())).cast("array<struct<label:string,has:boolean>>")
     tagged = claims.select("record_id", F.explode(named).alias("_l")).where("_l.has").select("record_id", "_l.label")
     split = p2_splits(spark, d).select("record_id", "split_name")
     n = tagged.join(split, "record_id").groupBy("label", "split_name").agg(F.count("*").alias("n_records"))
