@@ -71,16 +71,20 @@ FUNCTION_WORDS = {
     "CYRILLIC": {"ru": "и в не на с что для по это как из или каждый если", "uk": "і та у не на з що для як є або кожен якщо це", "bg": "и в не на с за че от са да се като всеки"},
     "ARABIC": {"ar": "في من على إلى أن هذا التي لا كل أو", "fa": "و در به از که این را با است هر", "ur": "اور کے میں کی ہے کا سے پر ہر"},
 }
-_LANGUAGE_OF = {s: {w: frozenset(k for k, ws in of.items() if w in ws.split()) for ws in of.values() for w in ws.split()} for s, of in FUNCTION_WORDS.items()}
+_LANGUAGES_OF: dict[str, set] = {}
+for _script, _of in FUNCTION_WORDS.items():
+    for _language, _words in _of.items():
+        for _word in _words.split():
+            _LANGUAGES_OF.setdefault(_word, set()).add((_script, _language))
 
 
 def language_of(text: str) -> tuple[str, str]:
     """(script, language) of a text: its function words vote, a word of several languages for each; ('', '') where none is found."""
     votes: Counter = Counter()
-    for w, n in Counter(text.lower().split()).items():
-        for script, known in _LANGUAGE_OF.items():
-            for k in known.get(w, ()):
-                votes[script, k] += n
+    seen = Counter(text.lower().split())
+    for w in seen.keys() & _LANGUAGES_OF.keys():
+        for k in _LANGUAGES_OF[w]:
+            votes[k] += seen[w]
     return min(votes, key=lambda k: (-votes[k], k)) if votes else ("", "")
 
 
@@ -93,6 +97,7 @@ def script_of(word: str) -> str:
     return "-"
 
 
+@lru_cache(maxsize=1 << 17)
 def key_of(word: str, language: tuple[str, str]) -> str:
     """What a token's counts are kept under: the language of its text; its script if that is another one, or if it is of a class (an
     identifier, a number) that is the same in all languages."""
