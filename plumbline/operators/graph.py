@@ -103,6 +103,25 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         total = total.unionByName(frontier)
 
 
+def witnesses(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seeds(node) -> (node, seed): up to two different seeds that each node leads to, the seeds themselves included. One says that a node leads
+    to a seed, two that it leads to another than itself; a node with two needs no more, so no node is kept more than twice.
+    """
+    edges, total = cut(edges.select("src", "dst").distinct()), cut(seeds.select("node", F.col("node").alias("seed")).distinct())
+    frontier, rounds = total, 0
+    while True:
+        step = frontier.join(edges, frontier["node"] == edges["dst"]).select(F.col("src").alias("node"), "seed").distinct()
+        new = step.join(total, ["node", "seed"], "left_anti").groupBy("node").agg(F.min("seed").alias("_a"), F.max("seed").alias("_b"))
+        had = total.groupBy("node").agg(F.count("*").alias("_n"))
+        gained = F.when(F.col("_n").isNull(), F.array_distinct(F.array("_a", "_b"))).when(F.col("_n") < 2, F.array("_a"))
+        frontier, rounds = cut(new.join(had, "node", "left").select("node", F.explode(gained).alias("seed"))), rounds + 1
+        if frontier.isEmpty():
+            return total
+        total = total.unionByName(frontier)
+        if rounds % FOLD == 0:
+            total = cut(total)
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(node, neighbour) over one hop in either direction."""
     e = edges.where(F.col("src") != F.col("dst"))

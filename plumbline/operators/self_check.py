@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.names import is_pii_tag, is_protection_tag, leaf
 from plumbline.functions.text import strict_references
-from plumbline.operators.graph import closure, shortest_paths
+from plumbline.operators.graph import closure, shortest_paths, witnesses
 from plumbline.operators.snapshot import Snapshot
 from plumbline.schemas import EVIDENCE, evidence, union, unverifiable
 from plumbline.session import cut
@@ -62,12 +62,17 @@ def unowned_consumed(s: Snapshot) -> DataFrame:
     return evidence(used, "unowned_consumed", F.col("src"), consumers=F.col("n"))
 
 
+def _live_lineage(s: Snapshot) -> tuple[DataFrame, DataFrame]:
+    """Edges between known assets, and the live charts and dashboards."""
+    known = s.entity.select("urn")
+    e = s.asset_edges.join(known.withColumnRenamed("urn", "src"), "src", "left_semi").join(known.withColumnRenamed("urn", "dst"), "dst", "left_semi")
+    return e, s.entity.where(F.col("live") & F.col("kind").isin(*BI_KINDS)).select(F.col("urn").alias("node"))
+
+
 def deprecated_upstream_of_live(s: Snapshot) -> DataFrame:
     """Deprecated assets that live charts and dashboards rest on, a row per pair, with the least shortest path; however far apart they are.
     In a large graph only edges that lead to a live chart or dashboard are walked, found by one walk backwards from all of them."""
-    known = s.entity.select("urn")
-    e = s.asset_edges.join(known.withColumnRenamed("urn", "src"), "src", "left_semi").join(known.withColumnRenamed("urn", "dst"), "dst", "left_semi")
-    live = s.entity.where(F.col("live") & F.col("kind").isin(*BI_KINDS)).select(F.col("urn").alias("node"))
+    e, live = _live_lineage(s)
     e, roots = cut(e), s.entity.where("deprecated").select(F.col("urn").alias("root"))
     if e.count() > PRUNE_EDGES:
         above = closure(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), live)
@@ -76,6 +81,14 @@ def deprecated_upstream_of_live(s: Snapshot) -> DataFrame:
     return evidence(paths, "deprecated_upstream_of_live", F.col("root"), live_consumer=F.col("node"), path=F.col("path"))
 
 
+def deprecated_sources_of_live(s: Snapshot) -> DataFrame:
+    """The subjects of ``deprecated_upstream_of_live``, each once and without its consumers: one walk backwards from all live charts and dashboards,
+    where the pairs are as many as deprecated assets times consumers."""
+    e, live = _live_lineage(s)
+    leads = witnesses(e, live).where(F.col("seed") != F.col("node")).select(F.col("node").alias("urn"))
+    return evidence(s.entity.where("deprecated").select("urn").distinct().join(leads, "urn", "left_semi"), "deprecated_upstream_of_live", F.col("urn"))
+
+
 def doc_references_missing_column(s: Snapshot) -> DataFrame:
     """Columns that a field's description names, and the schema of the asset lacks; without a schema nothing can be said."""
     said = s.field.where(F.col("description").isNotNull()).select("urn", "path", F.explode(strict_references(F.col("description"))).alias("mentioned"))
@@ -109,7 +122,9 @@ def attributed(s: Snapshot, found: DataFrame) -> DataFrame:
     return per.unionByName(s.entity.select("urn", F.lit("orphan_lineage_unverifiable").alias("kind"))).distinct()
 
 
-def run_all(s: Snapshot) -> DataFrame:
-    """The evidence of all six checks."""
+def run_all(s: Snapshot, paths: bool = True) -> DataFrame:
+    """The evidence of all six checks. Without ``paths`` a deprecated asset above live ones is one row and not one per consumer: enough where
+    only kinds and subjects are asked."""
     s = s.settled()
-    return union(*(f(s) for f in CHECKS.values()), unresolved_lineage(s))
+    checks = CHECKS if paths else CHECKS | {"deprecated_upstream_of_live": deprecated_sources_of_live}
+    return union(*(f(s) for f in checks.values()), unresolved_lineage(s))

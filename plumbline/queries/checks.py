@@ -364,7 +364,7 @@ def audit_resume(spark: SparkSession, d: str) -> DataFrame:
 def audit_run(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d)
     prior = s.entity.where(F.length("urn") % 5 == 0).select("urn", F.when(F.length("urn") % 2 == 0, "PASS").otherwise("BLOCK").alias("verdict"))
-    return au.run(au.plan(s), neighbours(s.asset_edges), sc.attributed(s, sc.run_all(s)), prior, 50)
+    return au.run(au.plan(s), neighbours(s.asset_edges), sc.attributed(s, sc.run_all(s, paths=False)), prior, 50)
 
 
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
