@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.names import is_pii_tag, type_token
 from plumbline.functions.text import loose_references
-from plumbline.operators.graph import reach, shortest_paths
+from plumbline.operators.graph import packed, packed_counts, packed_pairs, reach, shortest_paths
 from plumbline.operators.lineage import lineage_diff
+from plumbline.operators.ranking import global_position
 from plumbline.operators.snapshot import Snapshot
 from plumbline.schemas import evidence, union, unverifiable
 from plumbline.session import cut
@@ -74,10 +75,16 @@ def blast_paths(s: Snapshot, roots: DataFrame, depth: int = 3) -> DataFrame:
     return shortest_paths(s.asset_edges, roots, depth, boards).select("root", "node", "path")
 
 
+def _bi(s: Snapshot) -> DataFrame:
+    return s.entity.where("kind in ('chart', 'dashboard') or contains(urn, '.explore.')").select(F.col("urn").alias("node"))
+
+
 def with_bi_hops(s: Snapshot, roots: DataFrame, depth: int = 3, hops: int = 2) -> DataFrame:
     """(root, node, depth) downstream, and ``hops`` more from the charts, dashboards and explores reached less than ``hops`` before the end, whose own consumers a bounded walk would miss."""
+    if (g := packed(s.asset_edges, roots)) is not None:
+        return packed_pairs(g, depth, rim=g.mask(_bi(s)), hops=hops)
     near = cut(reach(s.asset_edges, roots, depth))
-    rim = near.where(F.col("depth") > depth - hops).join(s.entity.where("kind in ('chart', 'dashboard') or contains(urn, '.explore.')").select(F.col("urn").alias("node")), "node", "left_semi")
+    rim = near.where(F.col("depth") > depth - hops).join(_bi(s), "node", "left_semi")
     more = reach(s.asset_edges, rim.select(F.col("node").alias("root")).distinct(), hops).select(F.col("root").alias("_via"), F.col("node").alias("_far"), F.col("depth").alias("_d"))
     far = rim.join(more, rim["node"] == more["_via"]).select("root", F.col("_far").alias("node"), (F.col("depth") + F.col("_d")).alias("depth"))
     return near.unionByName(far).where("root <> node").groupBy("root", "node").agg(F.min("depth").alias("depth"))

@@ -5,8 +5,13 @@ The cost is edges times rounds whatever the number of paths, cycles end by thems
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +23,10 @@ from plumbline.session import cut
 FOLD = 6
 #: Edges up to which the layer of one root, which has no more rows, is ranked in one task.
 LAYER_ROWS = 2_000_000
+#: Edges of a graph that tasks hold as numbers, 8 bytes an edge, to walk from many roots; a larger graph is walked by joins.
+PACKED_EDGES = 20_000_000
+#: Names that are broadcast to be put on pairs of numbers.
+NAMES = 500_000
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
@@ -51,6 +60,126 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataF
     return out
 
 
+@dataclass
+class Packed:
+    """A graph whose nodes are numbers from 0, small enough for a task: its edges by target, so that a step of 64 roots is one reduction over them."""
+
+    names: DataFrame  # (id, name)
+    n: int
+    roots: np.ndarray
+    src: np.ndarray
+    dst: np.ndarray  # the different targets, and where the edges of each start
+    starts: np.ndarray
+
+    def mask(self, nodes: DataFrame) -> np.ndarray:
+        """nodes(node) -> whether each number is one of them."""
+        out = np.zeros(self.n, bool)
+        out[self.names.join(nodes.select(F.col("node").alias("name")), "name", "left_semi").select("id").toArrow()["id"].to_numpy()] = True
+        return out
+
+    def levels(self, roots: np.ndarray, depth: int | None, rim: np.ndarray | None, hops: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(level, masks) with a bit per root at each node that it reaches there first; from nodes of the ``rim`` reached less than ``hops`` before the end, ``hops`` steps more."""
+
+        def step(f: np.ndarray) -> np.ndarray:
+            out = np.zeros(self.n, np.uint64)
+            if len(self.src):
+                out[self.dst] = np.bitwise_or.reduceat(f[self.src], self.starts)
+            return out
+
+        f = np.zeros(self.n, np.uint64)
+        f[roots] = np.left_shift(np.uint64(1), np.arange(len(roots), dtype=np.uint64))
+        seen, level, beyond = f.copy(), 0, {}
+        while depth is None or level < depth:
+            f, level = step(f) & ~seen, level + 1
+            if not f.any():
+                break
+            seen |= f
+            yield level, f
+            if rim is not None and level > depth - hops:
+                far = np.where(rim, f, np.uint64(0))
+                for k in range(1, hops + 1):
+                    far = step(far)
+                    if level + k > depth:
+                        beyond[level + k] = beyond.get(level + k, 0) | far
+        for level in sorted(beyond):
+            f = beyond[level] & ~seen
+            seen |= f
+            yield level, f
+
+
+def packed(edges: DataFrame, seeds: DataFrame) -> Packed | None:
+    """edges(src, dst) and seeds(root) as numbers; None if there are too many edges."""
+    edges = cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    if edges.count() > PACKED_EDGES:
+        return None
+    seeds = seeds.select("root").where("root is not null").distinct()
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("name")).union(seeds).distinct()
+    names = cut(global_position(nodes, F.col("name"), name="id").select((F.col("id") - 1).cast("int").alias("id"), "name"))
+    at = lambda c: names.select(F.col("id").alias(f"_{c}"), F.col("name").alias(c))
+    e = edges.join(at("src"), "src").join(at("dst"), "dst").select("_src", "_dst").toArrow()
+    src, dst = e["_src"].to_numpy(), e["_dst"].to_numpy()
+    by = np.argsort(dst, kind="stable")
+    targets, starts = np.unique(dst[by], return_index=True)
+    roots = np.sort(seeds.join(at("root"), "root").select("_root").toArrow()["_root"].to_numpy())
+    return Packed(names, names.count(), roots, src[by], targets, starts)
+
+
+def _by_blocks(g: Packed, work, schema: str) -> DataFrame:
+    """work(block of 64 roots) -> batches, over all blocks."""
+    blocks = -(-len(g.roots) // 64)
+    return g.names.sparkSession.range(0, blocks, 1, max(1, min(blocks, 1000))).mapInArrow(lambda batches: (out for b in batches for i in b.column(0).to_pylist() for out in work(i)), schema)
+
+
+def _bits(masks: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(masks).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _sent(g: Packed, more: tuple) -> Broadcast:
+    return g.names.sparkSession.sparkContext.broadcast((Packed(None, g.n, g.roots, g.src, g.dst, g.starts), *more))
+
+
+def packed_pairs(g: Packed, depth: int | None = None, wanted: np.ndarray | None = None, rim: np.ndarray | None = None, hops: int = 0) -> DataFrame:
+    """(root, node, depth) as ``reach`` gives it, or only of wanted nodes, and what follows from the rim. Pairs are numbers until they are written."""
+    sent = _sent(g, (wanted, rim))
+
+    def work(i: int) -> Iterator[pa.RecordBatch]:
+        g, wanted, rim = sent.value
+        roots = g.roots[64 * i : 64 * i + 64]
+        for level, f in g.levels(roots, depth, rim, hops):
+            at = np.flatnonzero(f if wanted is None else np.where(wanted, f, np.uint64(0)))
+            for k in range(0, len(at), 4096):
+                node, bit = np.nonzero(_bits(f[at[k : k + 4096]]))
+                yield pa.record_batch([pa.array(roots[bit]), pa.array(at[k : k + 4096][node].astype(np.int32)), pa.array(np.full(len(bit), level, np.int32))], ["_root", "_node", "depth"])
+
+    pairs = _by_blocks(g, work, "_root int, _node int, depth int")
+    name = F.broadcast if g.n <= NAMES else lambda df: df
+    for c in ("root", "node"):
+        pairs = pairs.join(name(g.names.select(F.col("id").alias(f"_{c}"), F.col("name").alias(c))), f"_{c}")
+    return pairs.select("root", "node", "depth")
+
+
+def packed_counts(g: Packed, classes: DataFrame, depth: int | None = None, rim: np.ndarray | None = None, hops: int = 0) -> DataFrame:
+    """classes(node, class long) of all nodes -> (root, class, n): how many nodes of each class a root reaches, without a row per pair."""
+    c = g.names.join(classes.withColumnRenamed("node", "name"), "name").select("id", "class").toArrow()
+    values, of = np.unique(c["class"].to_numpy(), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    sent = _sent(g, (values, c["id"].to_numpy()[order], np.unique(of[order], return_index=True)[1], rim))
+
+    def work(i: int) -> Iterator[pa.RecordBatch]:
+        g, values, order, starts, rim = sent.value
+        roots, hit = g.roots[64 * i : 64 * i + 64], np.zeros(g.n, np.uint64)
+        for _, f in g.levels(roots, depth, rim, hops):
+            hit |= f
+        if len(order):
+            for b in range(0, len(roots), 8):
+                bits = np.unpackbits(hit.view(np.uint8).reshape(-1, 8)[order, b // 8].reshape(-1, 1), axis=1, bitorder="little")
+                n = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+                cls, bit = np.nonzero(n)
+                yield pa.record_batch([pa.array(roots[b + bit]), pa.array(values[cls]), pa.array(n[cls, bit])], ["_root", "class", "n"])
+
+    return _by_blocks(g, work, "_root int, class long, n long").join(g.names.select(F.col("id").alias("_root"), F.col("name").alias("root")), "_root").select("root", "class", "n")
+
+
 def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(root, node, path): to each node within ``depth`` steps (None: however far), or only to targets(node), the least path in node order among the shortest
     ones, as an array from root to node.

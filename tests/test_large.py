@@ -3,7 +3,7 @@
 import random
 
 from plumbline import api
-from plumbline.operators import audit, graph
+from plumbline.operators import audit, change, graph
 from plumbline.operators import self_check as sc
 from plumbline.operators.snapshot import Snapshot
 
@@ -63,3 +63,20 @@ def test_audit_makes_no_pair_and_reads_neighbours_as_it_goes(spark, monkeypatch)
     monkeypatch.setattr(audit.Near, "__call__", lambda self, u: asked.append(u) or look(self, u))
     assert [(r.urn, r.outcome) for r in api.audit(s, 8).orderBy("step").collect()] == _plain(order, near, bad, {}, 8)
     assert 0 < len(asked) <= 8
+
+
+def _both_ways(s, make, monkeypatch):
+    """The rows by joins, and by numbers without the joins."""
+    roots = s.entity.where("deprecated").selectExpr("urn as root")
+    with monkeypatch.context() as m:
+        m.setattr(graph, "PACKED_EDGES", 0)
+        want = sorted(map(tuple, make(s, roots).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(change, "reach", None)
+        got = sorted(map(tuple, make(s, roots).collect()))
+    assert want and got == want
+
+
+def test_bi_hops_by_numbers(spark, monkeypatch):
+    for seed in range(2):
+        _both_ways(_snapshot(spark, seed, 90, 130), lambda s, r: change.with_bi_hops(s, r).select("root", "node", "depth"), monkeypatch)
