@@ -110,13 +110,21 @@ def doc_rot(docs: DataFrame) -> DataFrame:
 def blast_evidence(s: Snapshot, roots: DataFrame, depth: int = 3) -> DataFrame:
     """The blast radius as evidence for the rules: how many assets are downstream (charts' consumers too), how many of them are critical,
     could not be read or carry personal data, and how many other teams own some."""
-    hit = with_bi_hops(s, roots, depth).join(s.entity.select(F.col("urn").alias("node"), "kind", "owner"), "node", "left")
     tags = s.field.groupBy(F.col("urn").alias("node")).agg(F.bool_or(F.exists("tags", is_pii_tag)).alias("_pii"), F.bool_or(F.exists("tags", lambda t: F.lower(t).contains("critical"))).alias("_critical"))
-    j = hit.join(tags, "node", "left").join(s.entity.select(F.col("urn").alias("root"), F.col("owner").alias("_own")), "root", "left")
-    foreign = F.when(F.col("_own").isNotNull() & (F.col("owner") != F.col("_own")), F.col("owner"))
+    owners = cut(global_position(s.entity.select("owner").where("owner is not null").distinct(), F.col("owner"), name="team"))
+    known = s.entity.select(F.col("urn").alias("node"), "kind", "owner").join(owners, "owner", "left")
+    flags = (F.col("kind").isin("chart", "dashboard"), F.col("_critical"), F.col("_pii"), F.col("kind").isNull())
+    # what counts of an asset as one number: its team, and a bit per flag
+    number = lambda nodes: nodes.join(known, "node", "left").join(tags, "node", "left").withColumn("class", sum((F.coalesce(x, F.lit(False)).cast("long") * (1 << i) for i, x in enumerate(flags)), F.coalesce("team", F.lit(0)) * 16))
+    if (g := packed(s.asset_edges, roots)) is not None:
+        hit = packed_counts(g, number(g.names.select(F.col("name").alias("node"))).select("node", "class"), depth, g.mask(_bi(s)), 2)
+    else:
+        hit = number(with_bi_hops(s, roots, depth)).groupBy("root", "class").agg(F.count("*").alias("n"))
+    j = hit.join(known.select(F.col("node").alias("root"), F.col("team").alias("_own")), "root", "left").withColumn("team", F.floor(F.col("class") / 16))
+    foreign = F.when(F.col("_own").isNotNull() & (F.col("team") > 0) & (F.col("team") != F.col("_own")), F.col("team"))
+    total = lambda i: F.sum(F.when(F.col("class").bitwiseAND(1 << i) > 0, F.col("n")).otherwise(0))
     per = j.groupBy("root").agg(
-        F.count("*").alias("n"), F.count_if(F.col("kind").isin("chart", "dashboard")).alias("boards"), F.count_if(F.coalesce("_critical", F.lit(False))).alias("critical"), F.count_if(F.coalesce("_pii", F.lit(False))).alias("pii"),
-        F.count_if(F.col("kind").isNull()).alias("blind"), F.count_distinct(foreign).alias("teams"),
+        F.sum("n").alias("n"), *(total(i).alias(c) for i, c in enumerate(("boards", "critical", "pii", "blind"))), F.count_distinct(foreign).alias("teams"),
     )
     per = roots.select("root").distinct().join(per, "root", "left").fillna(0)
     return evidence(per, "blast_radius", F.col("root"), count=F.col("n"), dashboards=F.col("boards"), critical_assets=F.col("critical"), pii_assets=F.col("pii"), unreadable_assets=F.col("blind"), cross_team_owners=F.col("teams"), depth=F.lit(depth))

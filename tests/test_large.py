@@ -80,3 +80,7 @@ def _both_ways(s, make, monkeypatch):
 def test_bi_hops_by_numbers(spark, monkeypatch):
     for seed in range(2):
         _both_ways(_snapshot(spark, seed, 90, 130), lambda s, r: change.with_bi_hops(s, r).select("root", "node", "depth"), monkeypatch)
+
+
+def test_blast_evidence_counts_without_pairs(spark, monkeypatch):
+    _both_ways(_snapshot(spark, 3, 90, 130), change.blast_evidence, monkeypatch)
