@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.names import is_pii_tag, is_protection_tag, leaf
 from plumbline.functions.text import strict_references
-from plumbline.operators.graph import closure, shortest_paths, witnesses
+from plumbline.operators.graph import closure, packed, packed_pairs, reach, shortest_paths, witnesses
 from plumbline.operators.snapshot import Snapshot
 from plumbline.schemas import EVIDENCE, evidence, union, unverifiable
 from plumbline.session import cut
@@ -81,6 +81,15 @@ def deprecated_upstream_of_live(s: Snapshot) -> DataFrame:
     return evidence(paths, "deprecated_upstream_of_live", F.col("root"), live_consumer=F.col("node"), path=F.col("path"))
 
 
+def live_below_deprecated(s: Snapshot) -> DataFrame:
+    """(root, node, depth): the pairs of ``deprecated_upstream_of_live`` with the steps between them, and no paths."""
+    e, live = _live_lineage(s)
+    roots = s.entity.where("deprecated").select(F.col("urn").alias("root"))
+    if (g := packed(e, roots)) is not None:
+        return packed_pairs(g, wanted=g.mask(live))
+    return reach(e, roots).join(live, "node", "left_semi").select("root", "node", "depth")
+
+
 def deprecated_sources_of_live(s: Snapshot) -> DataFrame:
     """The subjects of ``deprecated_upstream_of_live``, each once and without its consumers: one walk backwards from all live charts and dashboards,
     where the pairs are as many as deprecated assets times consumers."""

@@ -6,6 +6,8 @@ from plumbline import api
 from plumbline.operators import audit, change, graph
 from plumbline.operators import self_check as sc
 from plumbline.operators.snapshot import Snapshot
+from plumbline.queries import catalog, checks
+from tests.oracle import connect, same
 
 ENT = "urn string, kind string, owner string, deprecated boolean, live boolean, schema_ok boolean"
 FLD = "urn string, path string, native_type string, nullable boolean, tags array<string>, description string"
@@ -84,3 +86,9 @@ def test_bi_hops_by_numbers(spark, monkeypatch):
 
 def test_blast_evidence_counts_without_pairs(spark, monkeypatch):
     _both_ways(_snapshot(spark, 3, 90, 130), change.blast_evidence, monkeypatch)
+
+
+def test_pairs_above_live_need_no_paths(spark, data, monkeypatch):
+    for walk in ("shortest_paths", "reach"):
+        monkeypatch.setattr(sc, walk, None)
+    same(catalog.deprecated_upstream_catalog(spark, data).toPandas(), connect(data).execute(catalog.ORACLE["deprecated_upstream_catalog"]).df())
