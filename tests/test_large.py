@@ -92,3 +92,9 @@ def test_pairs_above_live_need_no_paths(spark, data, monkeypatch):
     for walk in ("shortest_paths", "reach"):
         monkeypatch.setattr(sc, walk, None)
     same(catalog.deprecated_upstream_catalog(spark, data).toPandas(), connect(data).execute(catalog.ORACLE["deprecated_upstream_catalog"]).df())
+
+
+def test_audit_summary_needs_no_pairs(spark, data, monkeypatch):
+    monkeypatch.setattr(sc, "shortest_paths", None)
+    per = {r.outcome: r.n for r in checks.audit_summary(spark, data).collect()}
+    assert sum(per.values()) == checks.audit_plan(spark, data).count()
