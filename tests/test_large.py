@@ -104,3 +104,8 @@ def test_summaries_need_no_pairs(spark, data, monkeypatch):
     """Without the walk that makes pairs; the SQL says how many subjects there are."""
     monkeypatch.setattr(sc, "shortest_paths", None)
     same(catalog.self_check_summary(spark, data).toPandas(), connect(data).execute(catalog.ORACLE["self_check_summary"]).df())
+
+
+def test_check_change_makes_no_pairs(spark, data, monkeypatch):
+    monkeypatch.setattr(change, "reach", None)
+    same(checks.check_change(spark, data).toPandas(), connect(data).execute(checks.ORACLE["check_change"]).df())
