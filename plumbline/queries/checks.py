@@ -320,7 +320,7 @@ def signed_log(spark: SparkSession, d: str) -> DataFrame:
 
 def swarm_run(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d).settled()
-    return au.swarm(cut(au.plan(s)), cut(neighbours(s.asset_edges)), cut(sc.attributed(s, sc.run_all(s))), ["a", "b", "c"], 20)
+    return au.swarm(cut(au.plan(s)), neighbours(s.asset_edges), sc.attributed(s, sc.run_all(s, paths=False)), ["a", "b", "c"], 20)
 
 
 def bi_hops(spark: SparkSession, d: str) -> DataFrame:

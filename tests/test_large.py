@@ -109,3 +109,23 @@ def test_summaries_need_no_pairs(spark, data, monkeypatch):
 def test_check_change_makes_no_pairs(spark, data, monkeypatch):
     monkeypatch.setattr(change, "reach", None)
     same(checks.check_change(spark, data).toPandas(), connect(data).execute(checks.ORACLE["check_change"]).df())
+
+
+def test_swarm_reads_findings_once(spark, monkeypatch):
+    s = _snapshot(spark, 5)
+    bad, near = {}, {}
+    found = sc.attributed(s, sc.run_all(s, paths=False))
+    for r in found.collect():
+        bad.setdefault(r.urn, set()).add(r.kind)
+    for r in graph.neighbours(s.asset_edges).collect():
+        near.setdefault(r.node, set()).add(r.neighbour)
+    read, kinds = [], audit._kinds
+    monkeypatch.setattr(audit, "_kinds", lambda f: read.append(1) or kinds(f))
+    plan = audit.plan(s)
+    got = audit.swarm(plan, graph.neighbours(s.asset_edges), found, ["a", "b"], 3).orderBy("worker", "step").collect()
+    want, done = [], {}
+    for w in ("a", "b"):
+        rows = _plain([r.urn for r in audit.rotation(plan, w).orderBy("turn").collect()], near, bad, done, 3)
+        want += [(w, *x) for x in rows]
+        done |= {u: "WARN" if o == "finding" else "PASS" for u, o in rows if o in ("finding", "clean")}
+    assert [(r.worker, r.urn, r.outcome) for r in got] == want and read == [1]
