@@ -129,3 +129,10 @@ def test_swarm_reads_findings_once(spark, monkeypatch):
         want += [(w, *x) for x in rows]
         done |= {u: "WARN" if o == "finding" else "PASS" for u, o in rows if o in ("finding", "clean")}
     assert [(r.worker, r.urn, r.outcome) for r in got] == want and read == [1]
+
+
+def test_unions_of_evidence_do_not_zip_partitions(spark):
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    s = _snapshot(spark, 1)
+    sc.lineage_field_missing(s)
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
