@@ -37,8 +37,17 @@ def asset_key(c: Column) -> Column:
 
 def field_key(c: Column) -> Column:
     """Canonical spelling of a field path: as for assets, and bracketed annotations with their dots are dropped."""
+    return F.nullif(_field(c), F.lit(""))
+
+
+def _field(c: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(_asset(c), r"\[[^\]]*\]", ""), r"\.{2,}", ".")
-    return F.nullif(F.btrim(F.btrim(bare, F.lit(".")), F.lit(BLANKS)), F.lit(""))
+    return F.btrim(F.btrim(bare, F.lit(".")), F.lit(BLANKS))
+
+
+def has_key(c: Column) -> Column:
+    """Whether ``asset_key`` gives a key: there is a character besides blanks and quotes. Costs a look at the first one and no spelling."""
+    return F.coalesce(c.rlike(f"[^{BLANKS}{_QUOTES[1:-1]}]"), F.lit(False))
 
 
 def life_id(key: Column, start: Column) -> Column:

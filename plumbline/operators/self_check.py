@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from plumbline.functions.text import strict_references
 from plumbline.operators.graph import closure, packed, packed_pairs, reach, shortest_paths, witnesses
 from plumbline.operators.snapshot import Snapshot
 from plumbline.schemas import EVIDENCE, evidence, union, unverifiable
-from plumbline.session import cut
+from plumbline.session import cut, tidy
 
 #: A graph of more edges is pruned before it is walked from many roots; in a smaller one that costs more than it saves.
 PRUNE_EDGES = 1_000_000
@@ -26,9 +28,11 @@ def orphan_lineage(s: Snapshot) -> DataFrame:
     """Edges whose source or target is not in the catalog, a row per missing end. A catalog that was not read whole cannot say."""
     if not s.entities_complete:
         return unverifiable(_one(s.entity), "orphan_lineage", F.lit("catalog"), "the entities were not read completely")
-    ends = s.edge.select("src", "dst", F.explode(F.array(F.struct(F.lit("source").alias("side"), F.col("src").alias("urn")), F.struct(F.lit("target").alias("side"), F.col("dst").alias("urn")))).alias("e"))
-    lost = ends.select("src", "dst", "e.side", "e.urn").distinct().join(s.entity.select("urn"), "urn", "left_anti")
-    return evidence(lost, "orphan_lineage", F.col("urn"), side=F.col("side"), src=F.col("src"), dst=F.col("dst"))
+    side = lambda name, urn, other: F.struct(F.lit(name).alias("side"), F.col(urn).alias("urn"), F.col(other).alias("other"))
+    ends = s.edge.select(F.explode(F.array(side("source", "src", "dst"), side("target", "dst", "src"))).alias("e")).select("e.*")
+    lost = ends.join(s.entity.select("urn"), "urn", "left_anti").distinct()  # of the lost ends only, which are few
+    src, dst = (F.when(F.col("side") == x, F.col("urn")).otherwise(F.col("other")) for x in ("source", "target"))
+    return evidence(lost, "orphan_lineage", F.col("urn"), side=F.col("side"), src=src, dst=dst)
 
 
 def lineage_field_missing(s: Snapshot) -> DataFrame:
@@ -56,9 +60,8 @@ def pii_leak_untagged(s: Snapshot) -> DataFrame:
 
 def unowned_consumed(s: Snapshot) -> DataFrame:
     """Assets without an owner that another known asset reads from."""
-    known = s.entity.select("urn")
-    e = s.asset_edges.where(F.col("src") != F.col("dst")).join(known.withColumnRenamed("urn", "dst"), "dst", "left_semi")
-    used = e.join(s.entity.where(F.col("owner").isNull()).select(F.col("urn").alias("src")), "src", "left_semi").groupBy("src").agg(F.count_distinct("dst").alias("n"))
+    e = s.edge.select("src", "dst").where(F.col("src") != F.col("dst")).join(s.entity.where(F.col("owner").isNull()).select(F.col("urn").alias("src")), "src", "left_semi")
+    used = e.join(s.entity.select(F.col("urn").alias("dst")), "dst", "left_semi").groupBy("src").agg(F.count_distinct("dst").alias("n"))
     return evidence(used, "unowned_consumed", F.col("src"), consumers=F.col("n"))
 
 
@@ -92,10 +95,13 @@ def live_below_deprecated(s: Snapshot) -> DataFrame:
 
 def deprecated_sources_of_live(s: Snapshot) -> DataFrame:
     """The subjects of ``deprecated_upstream_of_live``, each once and without its consumers: one walk backwards from all live charts and dashboards,
-    where the pairs are as many as deprecated assets times consumers."""
-    e, live = _live_lineage(s)
-    leads = witnesses(e, live).where(F.col("seed") != F.col("node")).select(F.col("node").alias("urn"))
-    return evidence(s.entity.where("deprecated").select("urn").distinct().join(leads, "urn", "left_semi"), "deprecated_upstream_of_live", F.col("urn"))
+    where the pairs are as many as deprecated assets times consumers. Assets are numbers on the way, so that no round moves names."""
+    bi = F.coalesce(F.col("live") & F.col("kind").isin(*BI_KINDS), F.lit(False))
+    ids = cut(s.entity.groupBy("urn").agg(F.max("deprecated").alias("deprecated"), F.max(bi).alias("bi")).withColumn("id", F.monotonically_increasing_id()))
+    at = lambda c: ids.select(F.col("urn").alias(c), F.col("id").alias(f"_{c}"))
+    e = s.edge.select("src", "dst").where("src <> dst").join(at("src"), "src").join(at("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    leads = witnesses(e, ids.where("bi").select(F.col("id").alias("node"))).where(F.col("seed") != F.col("node")).select(F.col("node").alias("id"))
+    return evidence(ids.where("deprecated").join(leads, "id", "left_semi"), "deprecated_upstream_of_live", F.col("urn"))
 
 
 def doc_references_missing_column(s: Snapshot) -> DataFrame:
@@ -109,6 +115,8 @@ def doc_references_missing_column(s: Snapshot) -> DataFrame:
 
 
 CHECKS = {f.__name__: f for f in (orphan_lineage, lineage_field_missing, pii_leak_untagged, unowned_consumed, deprecated_upstream_of_live, doc_references_missing_column)}
+#: The same without a row per pair: enough where only kinds and subjects are asked.
+SUBJECTS = CHECKS | {"deprecated_upstream_of_live": deprecated_sources_of_live}
 
 
 def unresolved_lineage(s: Snapshot) -> DataFrame:
@@ -135,5 +143,12 @@ def run_all(s: Snapshot, paths: bool = True) -> DataFrame:
     """The evidence of all six checks. Without ``paths`` a deprecated asset above live ones is one row and not one per consumer: enough where
     only kinds and subjects are asked."""
     s = s.settled()
-    checks = CHECKS if paths else CHECKS | {"deprecated_upstream_of_live": deprecated_sources_of_live}
-    return union(*(f(s) for f in checks.values()), unresolved_lineage(s))
+    return union(*(f(s) for f in (CHECKS if paths else SUBJECTS).values()), unresolved_lineage(s))
+
+
+def kinds(s: Snapshot) -> DataFrame:
+    """(urn, kind): what ``attributed`` makes of the evidence of all checks, for a snapshot that is settled. Each check is brought down to its
+    assets and written out before the next one begins: no evidence is moved, and the disk holds the shuffles of one check at a time."""
+    with tidy(s.entity.sparkSession):
+        parts = [cut(attributed(s, f(s))) for f in (*SUBJECTS.values(), unresolved_lineage)]
+    return reduce(DataFrame.unionByName, parts).distinct()

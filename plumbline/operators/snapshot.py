@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.names import urn_relation
-from plumbline.operators.references import asset_key, field_key
+from plumbline.operators.references import _asset, _field, asset_key, field_key, has_key
 from plumbline.session import cut, table
 
 
@@ -45,18 +45,18 @@ def from_tables(entity: DataFrame, field: DataFrame, edge: DataFrame) -> Snapsho
         .where(F.col("urn").isNotNull())
     )
     fld = (
-        field.where(F.col("dropped_at").isNull())
-        .groupBy(asset_key(F.col("urn")).alias("urn"), field_key(F.col("field_path")).alias("path"))
+        field.where(F.col("dropped_at").isNull() & has_key(F.col("urn")))
+        .groupBy(_asset(F.col("urn")).alias("urn"), field_key(F.col("field_path")).alias("path"))
         .agg(
             F.min("native_type").alias("native_type"), F.bool_and("nullable").alias("nullable"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("tags", F.array().cast("array<string>")))))).alias("tags"), F.min("description").alias("description"),
         )
-        .where(F.col("urn").isNotNull() & F.col("path").isNotNull())
+        .where(F.col("path").isNotNull())
     )
-    edg = edge.select(
-        asset_key(F.col("source_urn")).alias("src"), field_key(F.col("source_field")).alias("src_field"), asset_key(F.col("target_urn")).alias("dst"), field_key(F.col("target_field")).alias("dst_field")
-    )
-    return Snapshot(ent, fld, edg.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct())
+    named = edge.where(has_key(F.col("source_urn")) & has_key(F.col("target_urn")))  # before they are spelled, so that each is spelled once
+    path = lambda c: F.coalesce(_field(F.col(c)), F.lit(""))
+    edg = named.select(_asset(F.col("source_urn")).alias("src"), path("source_field").alias("src_field"), _asset(F.col("target_urn")).alias("dst"), path("target_field").alias("dst_field")).distinct()
+    return Snapshot(ent, fld, edg.select("src", F.nullif("src_field", F.lit("")).alias("src_field"), "dst", F.nullif("dst_field", F.lit("")).alias("dst_field")))
 
 
 def load(spark: SparkSession, d: str) -> Snapshot:

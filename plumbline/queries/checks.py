@@ -21,7 +21,7 @@ from plumbline.operators.snapshot import load, lookup
 from plumbline.queries.catalog import _LEAK, _ORPHAN, _TAGGED, _UNOWNED, LOOSE, _pii
 from plumbline.queries.derived import derived_snapshot
 from plumbline.queries.sqltext import CATALOG, DERIVED, key
-from plumbline.session import cut, table
+from plumbline.session import cut, table, tidy
 
 # ------------------------------------------------------------------------------------------------------------------------ claims
 
@@ -362,9 +362,11 @@ def audit_resume(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_run(spark: SparkSession, d: str) -> DataFrame:
-    s = load(spark, d)
+    with tidy(spark):
+        s = load(spark, d).settled()
+        planned = au.plan(s)
     prior = s.entity.where(F.length("urn") % 5 == 0).select("urn", F.when(F.length("urn") % 2 == 0, "PASS").otherwise("BLOCK").alias("verdict"))
-    return au.run(au.plan(s), neighbours(s.asset_edges), sc.attributed(s, sc.run_all(s, paths=False)), prior, 50)
+    return au.run(planned, s.edge.select(F.col("src").alias("node"), F.col("dst").alias("neighbour")), sc.kinds(s), prior, 50)
 
 
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """What keeps large catalogs within limits, and gives what the plain way gives."""
 
 import random
+import time
+from dataclasses import replace
 
 from plumbline import api
 from plumbline.operators import audit, change, graph
 from plumbline.operators import self_check as sc
-from plumbline.operators.snapshot import Snapshot
+from plumbline.operators.references import asset_key, field_key, has_key
+from plumbline.operators.snapshot import Snapshot, from_tables, load
 from plumbline.queries import catalog, checks
 from tests.oracle import connect, same
 
@@ -136,3 +139,53 @@ def test_unions_of_evidence_do_not_zip_partitions(spark):
     s = _snapshot(spark, 1)
     sc.lineage_field_missing(s)
     assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+
+
+def test_audit_leaves_no_shuffles_behind(spark, data, monkeypatch):
+    """When the run over the plan begins, the shuffles of the checks and of the tables are gone from the disk."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    before, left, replay = files(), [], audit._replay
+
+    def spied(*args):
+        for _ in range(50):  # files are deleted in the background
+            if not (rest := files() - before):
+                break
+            time.sleep(0.2)
+        left.append(len(rest))
+        return replay(*args)
+
+    monkeypatch.setattr(audit, "_replay", spied)
+    assert checks.audit_summary(spark, data).count() and left == [0]
+
+
+def test_audit_run_is_the_plain_run(spark, data):
+    s, near, bad = load(spark, data), {}, {}
+    for r in graph.neighbours(s.asset_edges).collect():
+        near.setdefault(r.node, set()).add(r.neighbour)
+    for r in sc.attributed(s, sc.run_all(s)).collect():
+        bad.setdefault(r.urn, set()).add(r.kind)
+    prior = {r.urn: "PASS" if len(r.urn) % 2 == 0 else "BLOCK" for r in s.entity.collect() if len(r.urn) % 5 == 0}
+    got = checks.audit_run(spark, data).orderBy("step").collect()
+    assert [(r.urn, r.outcome) for r in got] == _plain([r.urn for r in audit.plan(s).orderBy("position").collect()], near, bad, prior, 50)
+    examined = ("finding", "clean", "unestablished")
+    assert [r.n_kinds for r in got] == [len(bad.get(r.urn, ())) if r.outcome in examined else 0 for r in got]
+
+
+def test_kinds_are_those_of_the_evidence(spark):
+    for seed in range(2):
+        s = _snapshot(spark, seed)
+        for s in (s, replace(s, entities_complete=False, resolved=s.entity.where("live").select("urn"))):
+            assert sorted(map(tuple, sc.kinds(s).collect())) == sorted(map(tuple, sc.attributed(s, sc.run_all(s)).collect()))
+
+
+def test_names_without_a_key(spark):
+    names = ["a", " A ", '"', "'`\"", " ﻿​", ' "\t', "“x”", "", None, ".", "[x]", "\U0001f600", "\xa0.\xad"]
+    df = spark.createDataFrame([(x,) for x in names], "x string")
+    assert df.where(has_key(df["x"]) != asset_key(df["x"]).isNotNull()).count() == 0 and df.where(has_key(df["x"])).count() == 7
+    edges = spark.createDataFrame([("A", x, "b", x) for x in names] + [(x, None, "b", None) for x in names], "source_urn string, source_field string, target_urn string, target_field string")
+    none = spark.createDataFrame([], "urn string, kind string, owner string, deprecated boolean, live boolean, schema_available boolean, removed_at timestamp")
+    fields = spark.createDataFrame([], "urn string, field_path string, native_type string, nullable boolean, tags array<string>, description string, dropped_at timestamp")
+    key = lambda c: asset_key(edges[c])
+    want = edges.select(key("source_urn"), field_key(edges["source_field"]), key("target_urn"), field_key(edges["target_field"])).where(key("source_urn").isNotNull() & key("target_urn").isNotNull())
+    assert sorted(map(str, from_tables(none, fields, edges).edge.collect())) == sorted(map(str, want.toDF("src", "src_field", "dst", "dst_field").distinct().collect()))
